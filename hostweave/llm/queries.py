@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _support as S
-from . import packing, tokenfile, tokens
+from . import packing, simhash, tokenfile, tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(S.table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(S.table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(S.table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -26,5 +30,5 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_best_fit_packing, op9_token_binary)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op7_best_fit_packing, op9_token_binary)}
 ORACLE: dict[str, str] = {}
