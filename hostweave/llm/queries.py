@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _support as S
-from . import packing, simhash, tokenfile, tokens
+from . import embeddings, packing, simhash, tokenfile, tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,11 +24,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(S.table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(S.table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.scratch_path(spark, "token-files")
     tokenfile.write_token_files(S.table(spark, sf_dir, "documents"), path, BYTE_BPE)
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op7_best_fit_packing, op9_token_binary)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op7_best_fit_packing, op8_embedding_near_dedup, op9_token_binary)}
 ORACLE: dict[str, str] = {}
