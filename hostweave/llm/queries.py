@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _support as S
-from . import embeddings, packing, simhash, tokenfile, tokens
+from . import decontaminate, embeddings, lines, packing, simhash, substrings, tokenfile, tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,10 +16,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(S.table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.drop_boilerplate(S.table(spark, sf_dir, "documents"), host="source")
+    return docs.select("doc_id", "line_count", "dropped_count", "text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(S.table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(S.table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -34,5 +43,9 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_simhash, op7_best_fit_packing, op8_embedding_near_dedup, op9_token_binary)}
-ORACLE: dict[str, str] = {}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(S.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_line_dedup, op5_simhash, op6_decontamination, op7_best_fit_packing, op8_embedding_near_dedup, op9_token_binary, op10_substring_dedup)}
+ORACLE: dict[str, str] = {"op4_line_dedup": lines.ORACLE}
