@@ -4,14 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _support as S
-from . import decontaminate, embeddings, lines, packing, simhash, substrings, tokenfile, tokens
+from . import decontaminate, embeddings, language, lines, packing, simhash, substrings, tokenfile, tokens, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, S.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (S.doc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents")
+    held_out = S.doc_fold(F.col("doc_id"), 4) == 2
+    found = language.identify(docs, learn_from=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(S.table(spark, sf_dir, "documents"), PIECE_BPE)
 
@@ -47,5 +62,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(S.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_line_dedup, op5_simhash, op6_decontamination, op7_best_fit_packing, op8_embedding_near_dedup, op9_token_binary, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_token_counts, op4_line_dedup, op5_simhash, op6_decontamination, op7_best_fit_packing, op8_embedding_near_dedup, op9_token_binary, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op4_line_dedup": lines.ORACLE}
