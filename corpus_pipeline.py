@@ -3,19 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostweave.llm import _support as S
-from hostweave.llm import packing
+from hostweave.llm import decontaminate, lines, packing, simhash
+from hostweave.llm import toxicity as toxic
 from hostweave.llm.queries import BYTE_BPE
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from ``labels`` of the stage's own documents."""
+    model = toxic.learn(docs, S.table(spark, sf_dir, "labels"))
+    return toxic.score(docs, model).filter("predicted = 0").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from texts; all documents stay, a text of nothing else as an empty one."""
+    cleaned = lines.drop_boilerplate(docs, host="source")
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one of the least doc_id."""
+    groups = simhash.simhash_groups(docs).select("doc_id", "component_id").filter("doc_id <> component_id")
+    return docs.join(groups.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word inside a benchmark window go."""
+    found = decontaminate.contamination(docs, S.table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    return found.filter("not contaminated").select(*COLUMNS)
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the documents that are left."""
     return packing.pack(docs, BYTE_BPE)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Classifier training and packing have no SQL form; tests hold each stage against brute force.
+#: Classifier training, fingerprints and packing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

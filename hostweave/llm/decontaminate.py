@@ -103,8 +103,8 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; before them columns ``keep``.
 
     Null and empty texts have no words; a test item without words has no window. Items that share an item_id
     count as one; an item whose id is null marks words but is not counted or named. Repeated document rows give
@@ -115,17 +115,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     tests = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("t"))
     size = tests.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
     n_blocks = max(1, math.ceil(size / block_bytes))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kept = [docs[c].alias(f"keep_{i}") for i, c in enumerate([doc_id] if keep is None else keep)]
+    rows = docs.select(F.col(text).alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *kept)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
     for b in range(n_blocks):
         part = tests.filter(F.pmod(F.xxhash64("name", "t"), F.lit(n_blocks)) == b)
         block = spark.sparkContext.broadcast([(r.name, r.t) for r in part.collect()])
         last = b == n_blocks - 1
-        schema = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" if last else f"doc_id {kind}, text string, hit binary, items array<string>"
+        schema = f"{kinds}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" if last else f"text string, hit binary, items array<string>, {kinds}"
         rows = rows.mapInArrow(_scan(block, window, gram, last), schema)
         if not last:
             rows = S.cut(rows, "hits")
-    return rows
+    return rows.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(["doc_id"] if keep is None else keep)})
 
 
 def _scan(block, window: int, gram: int, last: bool):
@@ -133,7 +134,7 @@ def _scan(block, window: int, gram: int, last: bool):
         tests, hashes = TestBlock(block.value, window, gram), WordHashes()
         for batch in batches:
             out = []
-            for text, before, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, before, items in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 words, names = words_of(text), set(items or ())
                 hit = np.zeros(len(words), bool)
                 if before:
@@ -147,6 +148,10 @@ def _scan(block, window: int, gram: int, last: bool):
                     out.append((np.packbits(hit).tobytes(), sorted(names)))
             kinds, names = ([pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()], ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]) if last else ([pa.binary(), pa.list_(pa.string())], ["hit", "items"])
             cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *([] if last else [batch.column(1)]), *cols], ["doc_id", *([] if last else ["text"]), *names])
+            kept, kept_names = batch.columns[3:], batch.schema.names[3:]
+            if last:
+                yield pa.RecordBatch.from_arrays([*kept, *cols], [*kept_names, *names])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *kept], ["text", *names, *kept_names])
 
     return run
