@@ -1,0 +1 @@
+"""No part of the engine is a stream: every question is a batch over published relations."""
