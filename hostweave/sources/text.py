@@ -52,8 +52,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """value and place (the order of lines within the file) of every valid line that is no comment and not blank."""
     df = spark.read.option("lineSep", "\n").text(path)
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    df = df.select(F.regexp_replace("value", "\r\\z", "").alias("value"), place.alias("place"))
-    return df.filter(F.is_valid_utf8("value") & (F.col("value") != ""))
+    df = df.filter(F.is_valid_utf8("value"))  # before any string function, which would mend the bytes
+    return df.select(F.regexp_replace("value", "\r\\z", "").alias("value"), place.alias("place")).filter("value <> ''")
 
 
 def u32(c: Column) -> Column:
