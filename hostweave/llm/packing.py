@@ -31,6 +31,10 @@ CAPACITY = 2048
 #: Rounds of multiplicative weights and the share by which a round changes weights.
 ROUNDS = 400
 STEP = 0.35
+#: How much the first weights favour long pieces; the share of what is left that a round takes; when a length is done.
+CONVEX = 0.5
+TAKE = 1.0
+LEAST_LEFT = 0.999
 
 
 def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
@@ -60,37 +64,50 @@ def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how many sequences follow each, which together hold exactly the histogram's pieces."""
+    """Patterns and how many sequences follow each, which together hold exactly the histogram's pieces.
+
+    ``need`` are the covering constraints, ``left`` what the fractional solution does not cover yet. A round takes
+    the priced pattern as often as half of what its scarcest length has left allows, and the weights of the
+    lengths it serves fall by the share of their need that it serves.
+    """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    for k in [k for k in left if 2 * k > capacity and capacity - k < min(left)]:  # nothing fits beside these
-        out.append(({k: left.pop(k)}, 0))
-    out = [({k: 1}, n) for p, _ in out for k, n in p.items()]
+    out = []
     if left:
-        lengths = np.array(sorted(left, reverse=True))
-        need = np.array([left[k] for k in lengths], float)
-        weights, use = np.log1p(lengths) * 0 + lengths / capacity, {}
-        for _ in range(rounds):
-            pattern = price(weights, lengths, need.astype(np.int64), capacity)
-            if not pattern.any():
-                break
-            served = pattern / need
-            most = served.max()
-            use[tuple(pattern)] = use.get(tuple(pattern), 0.0) + 1.0 / most
-            weights = weights * (1 - STEP * served / most)
-        # scale to a cover, then round down as far as pieces last
-        cover = sum(np.array(p) * x for p, x in use.items()) / need
-        scale = 1.0 / max(cover.max(), 1e-9) if use else 0.0
-        rest = need.astype(np.int64)
-        for p, x in sorted(use.items(), key=lambda i: (-int(np.dot(i[0], lengths)), i[0])):
-            a = np.array(p)
-            fill, on = int(np.dot(a, lengths)), a > 0
-            n = int(min(x * (scale if fill < capacity else 1.0), (rest[on] // a[on]).min()))
-            if n > 0 and fill >= capacity - capacity // 100:
-                rest -= n * a
-                out.append(({int(k): int(v) for k, v in zip(lengths[on], a[on], strict=True)}, n))
-        out += best_fit({int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}, capacity)
-    return out
+        least = min(left)
+        out = [({k: 1}, left.pop(k)) for k in sorted(left) if k + least > capacity]  # nothing fits beside these
+    if not left:
+        return out
+    lengths = np.array(sorted(left, reverse=True))
+    need = np.array([left[k] for k in lengths], float)
+    open_, use = need.copy(), {}
+    weights = lengths / capacity * (1 + CONVEX * lengths / capacity)  # a dual start that favours long pieces
+    for _ in range(rounds):
+        live = np.flatnonzero(open_ >= LEAST_LEFT)
+        if not len(live):
+            break
+        pattern = np.zeros(len(lengths), np.int64)
+        most = np.floor(open_ + 0.001).astype(np.int64)
+        pattern[live] = price(weights[live], lengths[live], most[live], capacity)
+        room = capacity - int(pattern @ lengths)  # left where the price used a length more often than it is there
+        while len(more := np.flatnonzero((lengths <= room) & (most > pattern))):
+            k = more[0]
+            add = min(int(most[k] - pattern[k]), room // int(lengths[k]))
+            pattern[k], room = pattern[k] + add, room - add * int(lengths[k])
+        on = pattern > 0
+        x = float((open_[on] / pattern[on]).min())
+        x = x if x < 4 else x * TAKE
+        use[tuple(pattern)] = use.get(tuple(pattern), 0.0) + x
+        open_ = np.maximum(open_ - x * pattern, 0)
+        weights = weights * (1 - STEP * np.minimum(x * pattern / need, 1))
+    rest = need.astype(np.int64)
+    for pattern, x in use.items():  # in the order in which they were priced
+        a = np.array(pattern)
+        on = a > 0
+        n = int(min(x + 1e-6, (rest[on] // a[on]).min()))
+        if n > 0:
+            rest -= n * a
+            out.append(({int(k): int(v) for k, v in zip(lengths[on], a[on], strict=True)}, n))
+    return out + best_fit({int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}, capacity)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
