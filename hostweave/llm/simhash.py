@@ -3,8 +3,8 @@
 Candidates come from deletion variants. The fingerprint is cut into three segments, so of two fingerprints
 that differ in at most four bits one segment differs in at most one (two bits in each would make six). Each
 segment is indexed once for each of its bits with that bit masked out: 64 keys a fingerprint, and any two
-that link share a key. Equal keys meet by a shuffle on the key, are verified by counting differing bits, and
-only links that join something new within the key are kept, so a key of m fingerprints gives at most m - 1.
+that link share a key. Equal keys meet by a shuffle on the key and are verified by counting differing bits; a key of more than
+a few fingerprints gives a star for each of its groups, so m fingerprints give at most m - 1 edges.
 
 Equal fingerprints are one row before any of this, whatever the number of their documents. A key with more
 than ``RUN`` fingerprints is dealt out again as pairs of blocks, each a task's bounded share, so no group is
@@ -167,7 +167,10 @@ def _within_keys(rows: DataFrame, most: int) -> DataFrame:
 
 
 def link_fingerprints(distinct: DataFrame, most: int = RUN) -> DataFrame:
-    """a, b: links that connect exactly what pairs of at most four differing bits connect. ``distinct``: fp."""
+    """a, b: edges with the same components as all pairs of at most four differing bits. ``distinct``: fp.
+
+    Within a long run an edge names a member and the first of its group, which need not link directly.
+    """
     spark = distinct.sparkSession
     with S.batches(spark, 50_000):
         rows = _variants(distinct).repartition("key").sortWithinPartitions("key", "fp")
