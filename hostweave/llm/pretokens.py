@@ -13,7 +13,7 @@ import re
 from functools import lru_cache
 
 #: Entries of a worker's cache; beyond it the older half is forgotten. It bounds memory, not what is counted.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 #: Chunks longer than this are encoded without being kept.
 CACHED_CHARS = 40
 
@@ -46,9 +46,9 @@ class ChunkCache(dict):
 # ---- byte-level BPE -------------------------------------------------------------------------------------
 
 #: White space before a space, where a plain cut at single spaces would part a run of white space.
-_RUN = re.compile(r"\s ")
+_RUNS = tuple(c + " " for c in " \t\n\r\v\f\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Characters that Python and the tokenizer's pattern may class differently; special tokens begin with "<|".
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u1680", "\u180e", "\u200b", "\ufeff")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 
 
@@ -89,6 +89,8 @@ class ByteBpe:
         self.size = tokenizer.get_vocab_size(with_added_tokens=True)
         alphabet, tokenize, pre_tokens = _byte_alphabet(), tokenizer.model.tokenize, regex.compile(PATTERN).findall
 
+        space = alphabet[32]
+
         def packed(ids: list[int]) -> bytes:
             out = array("I", ids)
             if sys.byteorder == "big":
@@ -102,8 +104,11 @@ class ByteBpe:
             return packed([t.id for t in tokenize(pre_token.encode().decode("latin-1").translate(alphabet))])
 
         def word(w: str) -> bytes:
-            if w.isalpha() and max(w) < "\u0530":
-                return model(" " + w)
+            if w.isalpha():
+                if w.isascii():
+                    return packed([t.id for t in tokenize(space + w)])
+                if max(w) < "\u0530":
+                    return model(" " + w)
             return chunk(" " + w)
 
         def chunk(c: str) -> bytes:
@@ -119,11 +124,11 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if any(x in text for x in _ODD):
             return self.whole(text)
         for cache in (self.words, self.pre, self.chunks):
             cache.age()
-        if _RUN.search(text) or text[-1] == " ":
+        if any(x in text for x in _RUNS) or text[-1] == " ":
             return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
         first, *rest = text.split(" ")
         return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
@@ -143,16 +148,17 @@ def _pieces(path: str):
 
 
 def piece_count(path: str):
-    """A function: the number of pieces of a chunk that starts with the space mark."""
+    """A function: the pieces of a chunk, which is given without the space mark that it starts with."""
     model = _pieces(path)
 
     def count(chunk: str) -> int:
-        # encode() puts one mark before what it is given; a lone mark is a piece by itself
-        return len(model.encode(chunk[1:])) if len(chunk) > 1 else 1
+        return len(model.encode(chunk)) if chunk else 1  # encode() puts the mark back; a lone mark is a piece
 
     return count
 
 
 def piece_chunks(text: str) -> list[str]:
-    """The stretches of a text, each a run of space marks and what follows it."""
-    return _PIECES.findall(_SPACE + text.replace(" ", _SPACE))
+    """The stretches of a text that a run of space marks begins, each without its first mark."""
+    if "  " in text or text[0] == " " or _SPACE in text:
+        return [c[1:] for c in _PIECES.findall(_SPACE + text.replace(" ", _SPACE))]
+    return text.split(" ")

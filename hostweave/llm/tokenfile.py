@@ -67,16 +67,14 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, cache_entries: int) -> D
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(max(coder.size, end_id + 1), np.int64)
         for batch in batches:
-            out, counts = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(coder.encode(text or "") + end, "<u4")
-                seen += np.bincount(ids, minlength=len(seen)) if len(ids) > 20_000 else 0
-                if len(ids) <= 20_000:
-                    np.add.at(seen, ids, 1)
-                out.append(ids.astype(kind).tobytes())
-                counts.append(len(ids))
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.nulls(n, pa.binary())], ["doc_id", "n", "ids", "seen"])
+            coded = [coder.encode(text or "") + end for text in batch.column(1).to_pylist()]
+            ids = np.frombuffer(b"".join(coded), "<u4")
+            seen += np.bincount(ids, minlength=len(seen))
+            counts = np.array([len(c) // 4 for c in coded], np.int64)
+            ends = np.append(0, np.cumsum(counts))
+            raw, wide = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+            out = [raw[wide * i : wide * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["doc_id", "n", "ids", "seen"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "ids", "seen"])
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, ids binary, seen binary")

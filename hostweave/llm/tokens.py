@@ -33,7 +33,7 @@ def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, row
         seen: Counter[str] = Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                seen.update(piece_chunks(value))
+                seen.update(piece_chunks(value) if value else ())
         count = piece_count(model)
         best = [(w, count(w)) for w, n in seen.most_common(entries) if n > 1 and len(w) <= 40]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int32())], ["chunk", "n"])
