@@ -52,30 +52,30 @@ def drop_boilerplate(docs: DataFrame, host: str = "host", text: str = "text", ra
 
     Blank lines are never dropped. A null text stays null and has no lines; an empty text is one blank line. A
     document of nothing but boilerplate keeps its row with an empty text. Repeated rows count as pages of their
-    own and all stay. The names ``_digests``, ``_salt``, ``_kept``, line_count and dropped_count are taken; a
-    column of the last two in the input is replaced. An empty table gives no rows.
+    own and all stay. Columns line_count and dropped_count of the input are replaced, all others stay as they
+    are whatever their names. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     found = S.cut(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
     entries = found.agg(F.sum(F.size("digests")).alias("n")).first().n or 0
-    found = found.withColumnRenamed("host", "_host").withColumnRenamed("digests", "_digests")
-    pages = docs.drop("line_count", "dropped_count").withColumn("_host", F.coalesce(F.col(host), F.lit("")))
+    names = [c for c in docs.columns if c not in ("line_count", "dropped_count")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names])  # so that no name of the input can clash with ours
+    pages = docs.select(row.alias("row"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"))
     if entries <= broadcast_entries:
-        joined = pages.join(F.broadcast(found), "_host", "left")
+        joined = pages.join(F.broadcast(found), "host", "left")
     else:
-        pages = pages.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-        found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = pages.join(found, ["_host", "_salt"], "left").drop("_salt")
-    lines = _lines(F.col(text))
-    hits = F.array_intersect(F.transform(lines, _digest), F.col("_digests"))
-    joined = joined.withColumn("_hits", F.when(F.col("_digests").isNotNull(), hits))
-    kept = F.when(F.size("_hits") > 0, F.filter(lines, lambda x: ~F.array_contains(F.col("_hits"), _digest(x)))).otherwise(lines)
-    out = joined.withColumn("_kept", kept)
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    left = F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept"))
-    out = out.withColumns({"line_count": n.cast("bigint"), "dropped_count": (n - left).cast("bigint")})
-    out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n")))
-    return out.select(*[c for c in docs.columns if c not in ("line_count", "dropped_count")], "line_count", "dropped_count")
+        pages = pages.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.join(found, ["host", "salt"], "left")
+    lines = _lines(F.col("text"))
+    hits = F.array_intersect(F.transform(lines, _digest), F.col("digests"))
+    joined = joined.withColumn("hits", F.when(F.col("digests").isNotNull(), hits))
+    kept = F.when(F.size("hits") > 0, F.filter(lines, lambda x: ~F.array_contains(F.col("hits"), _digest(x)))).otherwise(lines)
+    out = joined.withColumn("kept", kept)
+    known = F.col("text").isNotNull()
+    n, left = F.when(known, F.size(lines)).otherwise(0), F.when(known, F.size("kept")).otherwise(0)
+    cleaned = F.when(known, F.array_join("kept", "\n"))
+    columns = [cleaned.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
+    return out.select(*columns, n.cast("bigint").alias("line_count"), (n - left).cast("bigint").alias("dropped_count"))
 
 
 #: The same result in DuckDB SQL over ``documents`` with the source as host.

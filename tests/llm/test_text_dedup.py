@@ -191,7 +191,9 @@ def test_lines(spark, broadcast_entries):
     rows = [(i, f"own line {i}\n {foot}\t\n\nown line {i}", "a.com", 1) for i in range(6)]
     rows += [(10 + i, f"page {i}\n{foot}" if i < 2 else f"page {i}", "b.com", 1) for i in range(6)]
     rows += [(20, foot, "a.com", 1), (21, None, "a.com", 1), (22, "", "a.com", 1), (23, "x", None, 1), (23, "x", None, 1), (24, "x", None, 1)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, host string, line_count int")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, host string, line_count int").withColumns({"kept": F.lit(1), "hits": F.lit(2), "digests": F.lit(3), "row": F.lit(4)})
+    out = lines.drop_boilerplate(df, ratio=0.5, broadcast_entries=broadcast_entries)
+    assert out.columns == ["doc_id", "text", "host", "kept", "hits", "digests", "row", "line_count", "dropped_count"] and out.first().row == 4
     got = {(r.doc_id, r.text): (r.line_count, r.dropped_count) for r in lines.drop_boilerplate(df, ratio=0.5, broadcast_entries=broadcast_entries).collect()}
     assert got[(0, "own line 0\n\nown line 0")] == (4, 1) and got[(20, "")] == (1, 1) and got[(21, None)] == (0, 0) and got[(22, "")] == (1, 0)
     assert got[(10, f"page 0\n{foot}")] == (2, 0) and got[(23, "")] == (1, 1) and got[(24, "")] == (1, 1)
