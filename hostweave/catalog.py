@@ -12,6 +12,7 @@ from hostweave.functions import formats
 from hostweave.operators import audit, discovery, graph, history, quality
 from hostweave.plans import sample_graph as G
 from hostweave.plans import setup
+from hostweave.plans.sample_graph import table as _table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,10 +34,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -19,16 +19,15 @@ def trim_unicode(c: Column) -> Column:
 
 def normalize_domain(c: Column) -> Column:
     """Host of a URL or domain as typed: lower case, without quotes, scheme, path, user, port, dots, one www."""
+    # each step reads its input once: a column used twice in every step would make the plan grow exponentially
     x = ascii_lower(trim_unicode(c))
-    quoted = (F.length(x) >= 2) & F.left(x, F.lit(1)).isin('"', "'") & (F.left(x, F.lit(1)) == F.right(x, F.lit(1)))
-    x = F.when(quoted, trim_unicode(F.substr(x, F.lit(2), F.length(x) - 2))).otherwise(x)
-    at = F.instr(x, "://")
-    x = F.when(at > 0, F.substr(x, at + 3)).otherwise(F.regexp_replace(x, "^//", ""))
+    x = trim_unicode(F.regexp_replace(x, r"(?s)\A([\"'])(.*)\1\z", "$2"))
+    x = F.regexp_replace(x, r"(?s)\A(?:.*?://|//)", "")
     x = F.regexp_replace(x, r"(?s)[/?#\\].*\z", "")
-    x = F.regexp_replace(x, r"(?s)^.*@", "")
-    x = F.when(F.length(x) - F.length(F.replace(x, F.lit(":"), F.lit(""))) == 1, F.substring_index(x, ":", 1)).otherwise(x)
+    x = F.regexp_replace(x, r"(?s)\A.*@", "")
+    x = F.regexp_replace(x, r"(?s)\A([^:]*):[^:]*\z", "$1")
     x = F.regexp_replace(x, r"\.+\z", "")
-    return F.regexp_replace(x, r"^www\.", "")
+    return F.regexp_replace(x, r"\Awww\.", "")
 
 
 def _labels_reversed(c: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The same relations in SQL: vx(id, rev), raw(from_id, to_id), ed(from_id, to_id), rk(rev, …), nr(id, …).
 SQL = """
@@ -31,26 +32,33 @@ nr as (
 """
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_schemas: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; its schema is read from the files once, as every inference is a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, nation = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
     rev = F.concat(F.lit("com.c"), key, F.lit("."), F.translate(F.lower("n_name"), "_", "-"))
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), rev.alias("rev"))
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     bought = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id"))
     return bought.unionAll(line.select(F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id")))
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    c = _table(spark, sf_dir, "customer").filter("c_acctbal >= 0").join(vertices(spark, sf_dir), F.col("c_custkey") == F.col("id"))
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").join(vertices(spark, sf_dir), F.col("c_custkey") == F.col("id"))
     c = c.join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
     return c.select(
         "rev", (F.coalesce("n", F.lit(0)) * F.lit(1e-9)).alias("pagerank"), (F.col("c_acctbal") + 2000).alias("harmonic"),
