@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _support as S
-from .pretokens import CACHE_ENTRIES, ByteBpe
+from .pretokens import CACHE_ENTRIES, byte_bpe
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights and the share by which a round changes weights.
@@ -128,7 +128,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc
     """doc_id, piece, start, length, ids_crc32 of every piece, with the task and the rank in it of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = ByteBpe(vocabulary, cache_entries), TaskContext.get().partitionId()
+        coder, task = byte_bpe(vocabulary, cache_entries), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:

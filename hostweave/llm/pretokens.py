@@ -134,6 +134,12 @@ class ByteBpe:
         return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(path: str, entries: int = CACHE_ENTRIES) -> ByteBpe:
+    """One coder for a worker process, so that its caches outlive a task."""
+    return ByteBpe(path, entries)
+
+
 # ---- sentencepiece --------------------------------------------------------------------------------------
 
 _SPACE = "▁"
@@ -157,6 +163,12 @@ def piece_count(path: str):
     return count
 
 
+@lru_cache(maxsize=2)
+def piece_counts(path: str, entries: int = CACHE_ENTRIES) -> ChunkCache:
+    """One cache of piece counts for a worker process."""
+    return ChunkCache(piece_count(path), entries)
+
+
 def piece_chunks(text: str) -> list[str]:
     """The stretches of a text that a run of space marks begins, each without its first mark."""
     if "  " in text or text[0] == " " or _SPACE in text:

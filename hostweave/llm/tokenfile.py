@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _support as S
-from .pretokens import CACHE_ENTRIES, ByteBpe
+from .pretokens import CACHE_ENTRIES, byte_bpe
 
 #: Ids after which a block is closed; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
@@ -62,7 +62,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, cache_entries: int) -> D
     """doc_id, ids (packed, with the end id) of every text; and, with null doc_id, a task's counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(path, cache_entries)
+        coder = byte_bpe(path, cache_entries)
         kind = "<u2" if coder.size <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(max(coder.size, end_id + 1), np.int64)
