@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _support as S
-from .pretokens import CACHE_ENTRIES, ChunkCache, piece_chunks, piece_count
+from .pretokens import CACHE_ENTRIES, piece_chunks, piece_count, piece_counts
 
 #: Entries of the broadcast table, and rows and characters of the texts from which its pre-tokens are chosen.
 FREQUENT = 40_000
@@ -26,7 +26,8 @@ SAMPLE_CHARS = 20_000
 def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, rows: int = SAMPLE_ROWS, text: str = "text") -> dict[str, int]:
     """The table's pre-tokens and their counts, at most ``entries``, from a bounded sample of the texts.
 
-    The sample is one ordered limit, so a single task counts it and the driver gets ``entries`` rows at most.
+    The sample is the texts of least hashes, found from bare hashes, and again at most ``rows`` where copies
+    share a hash; a single task counts it and the driver gets ``entries`` rows at most.
     """
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,11 +39,9 @@ def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, row
         best = [(w, count(w)) for w, n in seen.most_common(entries) if n > 1 and len(w) <= 40]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int32())], ["chunk", "n"])
 
-    sample = (
-        docs.filter(F.col(text).isNotNull())
-        .select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.col(text)).alias("o"))
-        .orderBy("o").limit(rows).select("t").coalesce(1)
-    )
+    known = docs.filter(F.col(text).isNotNull()).withColumn("o", F.xxhash64(F.col(text)))
+    last = known.select("o").orderBy("o").limit(rows).agg(F.max("o").alias("o")).first().o  # of bare hashes
+    sample = known.filter(F.col("o") <= F.lit(last)).select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).limit(rows).coalesce(1)
     return {r.chunk: r.n for r in sample.mapInArrow(top, "chunk string, n int").collect()}
 
 
@@ -58,7 +57,8 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     table = spark.sparkContext.broadcast(frequent_pretokens(docs, model))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkCache(piece_count(model), cache_entries, fixed=table.value)
+        cache = piece_counts(model, cache_entries)
+        cache.fixed = table.value
         look = cache.__getitem__
         for batch in batches:
             n_bytes, n_tokens = [], []
