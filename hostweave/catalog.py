@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, update_wrapper
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,21 +43,21 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.clean_edges(G.raw_edges(spark, d))
 
 
-def _targets(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth domain, written as a person would, with two that don't exist."""
-    known = G.vertices(spark, d).filter("id % 10 = 0").select(F.col("id").alias("ord"), F.concat(F.lit("https://www."), F.upper(D.from_reverse(F.col("rev"))), F.lit("/page?x=1")).alias("name"))
+def _targets(spark: SparkSession, d: str, every: int = 10) -> DataFrame:
+    """Every tenth domain, or each if ``every`` is 1, written as a person would, with two that don't exist."""
+    known = G.vertices(spark, d).filter(F.col("id") % every == 0).select(F.col("id").alias("ord"), F.concat(F.lit("https://www."), F.upper(D.from_reverse(F.col("rev"))), F.lit("/page?x=1")).alias("name"))
     return graph.targets_of(known.unionAll(_rows(spark, [(-1, "nowhere.example"), (-2, "Absent.Example."), (-3, " absent.example/x")], "ord bigint, name string")))
 
 
-def _links(spark: SparkSession, d: str, options: graph.Options) -> DataFrame:
+def _links(spark: SparkSession, d: str, options: graph.Options, every: int = 10) -> DataFrame:
     rows = 1 << 60  # the sample graph's targets grow with the tables, so they are never broadcast by hand
-    found = graph.resolve(G.vertices(spark, d), _targets(spark, d), rows).filter("node_id is not null")
+    found = graph.resolve(G.vertices(spark, d), _targets(spark, d, every), rows).filter("node_id is not null")
     return graph.neighbours(_edges(spark, d), found, rows, options)
 
 
-def _report(spark: SparkSession, d: str, options: graph.Options) -> DataFrame:
+def _report(spark: SparkSession, d: str, options: graph.Options, every: int = 10) -> DataFrame:
     v = G.vertices(spark, d)
-    links = graph.capped(_links(spark, d, options), options.limit)
+    links = graph.capped(_links(spark, d, options, every), options.limit)
     named = graph.named_and_ranked(links, v, graph.node_ranks(v, G.ranks(spark, d)), options.metric)
     return graph.with_order(named, "direction", "node_id")
 
@@ -144,8 +145,8 @@ _NAMES = "nm as (select " + _DOMAIN.format("rev") + " as domain, rev, node_id fr
 
 
 @query(_sql(_TARGETS, _NAMES, "select domain, rev, node_id from nm"))
-def resolve_targets(spark, d):
-    return graph.resolve(G.vertices(spark, d), _targets(spark, d), 1 << 60).select("domain", "rev", "node_id")
+def resolve_targets(spark, d, every=10):
+    return graph.resolve(G.vertices(spark, d), _targets(spark, d, every), 1 << 60).select("domain", "rev", "node_id")
 
 
 @query("select 'nowhere.example' as domain, 'example.nowhere' as rev union all select 'absent.example', 'example.absent'")
@@ -165,17 +166,17 @@ _COLUMNS = "direction, node_id, domain, rank, position, ord"
 
 
 @query(_sql(_TARGETS, _links_sql("inbound"), f"select {_COLUMNS} from out_inbound"))
-def inbound_links(spark, d):
-    return _report(spark, d, graph.Options(limit=1 << 40, outbound=False)).select(*_COLUMNS.split(", "))
+def inbound_links(spark, d, every=10):
+    return _report(spark, d, graph.Options(limit=1 << 40, outbound=False), every).select(*_COLUMNS.split(", "))
 
 
 @query(_sql(_TARGETS, _links_sql("outbound"), f"select {_COLUMNS} from out_outbound"))
-def outbound_links(spark, d):
-    return _report(spark, d, graph.Options(limit=1 << 40, inbound=False)).select(*_COLUMNS.split(", "))
+def outbound_links(spark, d, every=10):
+    return _report(spark, d, graph.Options(limit=1 << 40, inbound=False), every).select(*_COLUMNS.split(", "))
 
 
-def _capped(spark, d, options):
-    links = _links(spark, d, options)
+def _capped(spark, d, options, every):
+    links = _links(spark, d, options, every)
     side = "inbound" if options.inbound else "outbound"
     total = links.groupBy("node_id").agg(F.count(F.lit(1)).alias("total"))
     v = G.vertices(spark, d)
@@ -191,13 +192,13 @@ def _capped_sql(side: str) -> str:
 
 
 @query(_capped_sql("inbound"))
-def inbound_capped(spark, d):
-    return _capped(spark, d, graph.Options(limit=_LIMIT, outbound=False))
+def inbound_capped(spark, d, every=10):
+    return _capped(spark, d, graph.Options(limit=_LIMIT, outbound=False), every)
 
 
 @query(_capped_sql("outbound"))
-def outbound_capped(spark, d):
-    return _capped(spark, d, graph.Options(limit=_LIMIT, inbound=False))
+def outbound_capped(spark, d, every=10):
+    return _capped(spark, d, graph.Options(limit=_LIMIT, inbound=False), every)
 
 
 def _both_sql(metric: str, columns: str = _COLUMNS) -> str:
@@ -205,18 +206,18 @@ def _both_sql(metric: str, columns: str = _COLUMNS) -> str:
 
 
 @query(_both_sql("pagerank"))
-def link_report_pagerank(spark, d):
-    return _report(spark, d, graph.Options()).select(*_COLUMNS.split(", "))
+def link_report_pagerank(spark, d, every=10):
+    return _report(spark, d, graph.Options(), every).select(*_COLUMNS.split(", "))
 
 
 @query(_both_sql("harmonic"))
-def link_report_harmonic(spark, d):
-    return _report(spark, d, graph.Options(metric=graph.Metric.HARMONIC)).select(*_COLUMNS.split(", "))
+def link_report_harmonic(spark, d, every=10):
+    return _report(spark, d, graph.Options(metric=graph.Metric.HARMONIC), every).select(*_COLUMNS.split(", "))
 
 
 @query(_both_sql("harmonic", "node_id, direction, domain, cast(position as varchar) as position, ord"))
-def csv_rows(spark, d):
-    r = _report(spark, d, graph.Options(metric=graph.Metric.HARMONIC))
+def csv_rows(spark, d, every=10):
+    r = _report(spark, d, graph.Options(metric=graph.Metric.HARMONIC), every)
     return r.select("node_id", "direction", "domain", F.col("position").cast("string").alias("position"), "ord")
 
 
@@ -225,10 +226,10 @@ def csv_rows(spark, d):
     (select count(*) from ed where to_id = node_id) as inbound_total, (select count(*) from ed where from_id = node_id) as outbound_total
   from tg join nr on id = node_id)""", f"""select node_id, cast(pagerank as double) as rank, position, inbound_total, least(outbound_total, {_LIMIT}) as outbound_total,
   outbound_total as outbound_degree, inbound_total > {_LIMIT} as inbound_truncated, outbound_total > {_LIMIT} as outbound_truncated from hd"""))
-def report_headers(spark, d):
+def report_headers(spark, d, every=10):
     v = G.vertices(spark, d)
-    found = graph.resolve(v, _targets(spark, d), 1 << 60).filter("node_id is not null")
-    total = graph.totals(_links(spark, d, graph.Options()))
+    found = graph.resolve(v, _targets(spark, d, every), 1 << 60).filter("node_id is not null")
+    total = graph.totals(_links(spark, d, graph.Options(), every))
     own = graph.node_ranks(v, G.ranks(spark, d)).select(F.col("id").alias("node_id"), F.col("pagerank").cast("double").alias("rank"), F.nullif("pagerank_position", F.lit(0)).alias("position"))
     out = found.select("node_id").join(own, "node_id", "left").join(total, "node_id", "left").fillna(0, ["inbound_total", "outbound_total"])
     return out.select("node_id", "rank", "position", "inbound_total", F.least("outbound_total", F.lit(_LIMIT)).cast("bigint").alias("outbound_total"), F.col("outbound_total").alias("outbound_degree"), (F.col("inbound_total") > _LIMIT).alias("inbound_truncated"), (F.col("outbound_total") > _LIMIT).alias("outbound_truncated"))
@@ -242,13 +243,24 @@ def _scan_sql() -> str:
 
 
 @query(_scan_sql())
-def scan_report(spark, d):
+def scan_report(spark, d, every=10):
     from pyspark.sql import Window
 
-    named = graph.scan_ranks(_links(spark, d, graph.Options()), G.vertices(spark, d), G.ranks(spark, d), graph.Metric.PAGERANK)
+    named = graph.scan_ranks(_links(spark, d, graph.Options(), every), G.vertices(spark, d), G.ranks(spark, d), graph.Metric.PAGERANK)
     return graph.with_order(named, "direction", "node_id").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("direction", "node_id")))
 
 
+# ---- the same for all domains ----------------------------------------------------------------------------
+
+#: Queries that answer every tenth domain; each has a form ``<name>_of_all`` whose targets are all vertices.
+BATCH = (resolve_targets, inbound_links, outbound_links, inbound_capped, outbound_capped, link_report_pagerank, link_report_harmonic, csv_rows, report_headers, scan_report)
+
+for _f in BATCH:
+    _all = update_wrapper(partial(_f, every=1), _f)
+    _all.__name__ = f"{_f.__name__}_of_all"
+    query(ORACLE[_f.__name__].replace("from vx where id % 10 = 0", "from vx"))(_all)
+
+
 # ---- degrees ---------------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 """Every query against an independent engine on the same tables."""
 
+from collections import Counter
+
 import pytest
 
 from hostweave import catalog
@@ -27,3 +29,20 @@ def test_flagship(spark):
 
     rows = __spark_entry__.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"target", "direction", "ord", "domain", "rank", "position"}
+
+
+def test_of_all_answers_every_vertex(spark, sf):
+    def nodes(name):
+        return {r.node_id for r in catalog.QUERIES[name](spark, sf).select("node_id").collect()} - {None}
+
+    ids = {r.id for r in catalog.QUERIES["vertices_view"](spark, sf).collect()}
+    edges = [(r.from_id, r.to_id) for r in catalog.QUERIES["edges_clean"](spark, sf).collect()]
+    named = [e for e in edges if ids.issuperset(e)]  # reports name both ends
+    want = {"inbound": Counter(b for _, b in named), "outbound": Counter(a for a, _ in named)}
+    assert any(i % 10 for i in want["inbound"])
+    assert nodes("resolve_targets_of_all") == nodes("report_headers_of_all") == ids
+    for side in want:
+        assert nodes(f"{side}_links_of_all") == nodes(f"{side}_capped_of_all") == set(want[side])
+    for name in ("link_report_pagerank_of_all", "link_report_harmonic_of_all", "csv_rows_of_all", "scan_report_of_all"):
+        got = catalog.QUERIES[name](spark, sf).groupBy("direction", "node_id").count().collect()
+        assert {(r[0], r[1]): r[2] for r in got} == {(side, i): n for side in want for i, n in want[side].items()}
