@@ -3,9 +3,10 @@
 A configuration (pattern) is a multiset of lengths that fits one sequence. The covering program, the fewest
 sequences whose patterns hold every piece, is solved by multiplicative weights: each length carries a weight,
 a knapsack dynamic program prices the pattern of greatest weight, the pattern is used, and the weights of the
-lengths it serves fall in proportion. The solution is rounded down, and what that leaves over, a small number
-of pieces that does not grow with the corpus, is placed best-fit. The program sees a histogram of at most
-``capacity`` rows, so its cost is the same for any corpus.
+lengths it serves fall in proportion. A round uses up at least one length, so the rounds that cover all are at
+most as many as the lengths. The solution is rounded down, and what that leaves over, less than one sequence a
+round whatever the corpus, is placed best-fit. The program sees a histogram of at most ``capacity`` rows, so
+its cost is the same for any corpus.
 
 Tokenising is one map-side pass that writes a row per piece. A piece's rank within its length is the rank of
 its task plus a counter within the task, so no sort or window gathers one length anywhere; the rank is then
@@ -28,12 +29,10 @@ from . import _support as S
 from .pretokens import CACHE_ENTRIES, byte_bpe
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights and the share by which a round changes weights.
-ROUNDS = 400
+#: The share by which a round changes weights.
 STEP = 0.35
-#: How much the first weights favour long pieces; the share of what is left that a round takes; when a length is done.
+#: How much the first weights favour long pieces; when a length is done.
 CONVEX = 0.5
-TAKE = 1.0
 LEAST_LEFT = 0.999
 
 
@@ -63,12 +62,13 @@ def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity
     return np.minimum(pattern, limits)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """Patterns and how many sequences follow each, which together hold exactly the histogram's pieces.
 
     ``need`` are the covering constraints, ``left`` what the fractional solution does not cover yet. A round takes
-    the priced pattern as often as half of what its scarcest length has left allows, and the weights of the
-    lengths it serves fall by the share of their need that it serves.
+    the priced pattern as often as its scarcest length allows, which ends that length, and the weights of the
+    lengths it serves fall by the share of their need that it serves. It runs until no length is left, or for
+    ``rounds`` rounds, after which best-fit has the rest.
     """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     out = []
@@ -81,7 +81,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     need = np.array([left[k] for k in lengths], float)
     open_, use = need.copy(), {}
     weights = lengths / capacity * (1 + CONVEX * lengths / capacity)  # a dual start that favours long pieces
-    for _ in range(rounds):
+    for _ in range(len(lengths) if rounds is None else rounds):
         live = np.flatnonzero(open_ >= LEAST_LEFT)
         if not len(live):
             break
@@ -95,7 +95,6 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             pattern[k], room = pattern[k] + add, room - add * int(lengths[k])
         on = pattern > 0
         x = float((open_[on] / pattern[on]).min())
-        x = x if x < 4 else x * TAKE
         use[tuple(pattern)] = use.get(tuple(pattern), 0.0) + x
         open_ = np.maximum(open_ - x * pattern, 0)
         weights = weights * (1 - STEP * np.minimum(x * pattern / need, 1))
@@ -154,7 +153,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc
     return docs.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint, task int")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, rounds: int = ROUNDS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, rounds: int | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Place of every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of the end id. A document longer than ``capacity`` is cut into pieces

@@ -129,6 +129,17 @@ def test_solver_holds_exactly_the_histogram(seed):
     assert used <= 1.025 * max(sum(k * n for k, n in histogram.items()) / 512, sum(n for k, n in histogram.items() if k > 256)) + 3 or used <= sum(n for _, n in packing.best_fit(histogram, 512)) + 2
 
 
+def test_best_fit_gets_a_remainder_that_does_not_grow(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = {int(k): int(n) for k, n in zip(range(1, 601), rng.integers(1, 400, 600), strict=True)}
+    best_fit, rest = packing.best_fit, []
+    monkeypatch.setattr(packing, "best_fit", lambda h, capacity: rest.append(sum(k * n for k, n in h.items())) or best_fit(h, capacity))
+    for times in (1, 1000):
+        patterns = packing.solve({k: n * times for k, n in base.items()}, 640)
+        assert sum(k * v * n for pattern, n in patterns for k, v in pattern.items()) == times * sum(k * n for k, n in base.items())
+    assert max(rest) < 640 * len(base)
+
+
 def test_knapsack_price_is_optimal():
     lengths, weights = np.array([5, 4, 3]), np.array([5.1, 4.0, 2.9])
     best = packing.price(weights, lengths, np.array([9, 9, 9]), 11)
