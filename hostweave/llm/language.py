@@ -30,8 +30,8 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=4)
 def _letter_table(alphabet: str) -> np.ndarray:
-    """Code point -> 0 for no letter, 1 for a letter outside the alphabet, 2 and up for its letters."""
-    out = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000).astype(np.int32)
+    """Code point -> 0 for no letter, 2 and up for the alphabet's letters, and above them a number for each other letter."""
+    out = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000) * (np.arange(0x110000) + len(alphabet) + 2)
     for i, c in enumerate(alphabet):
         out[ord(c)] = i + 2
     return out
@@ -46,9 +46,14 @@ def _codes(text: str, alphabet: str) -> np.ndarray:
 
 
 def _grams(a: np.ndarray, base: int) -> np.ndarray:
-    """n-gram numbers: one, two and three letters lie in ranges of their own."""
+    """n-gram numbers: one, two and three letters lie in ranges of their own, n-grams with a letter outside the alphabet below zero."""
     if len(a) < 2 or not a.any():
         return np.zeros(0, np.int64)
+    if a.max() >= base:
+        far = a >= base
+        low = _grams(np.where(far, 1, a), base).astype(np.int64)
+        own = np.concatenate([far[a > 0], far[:-1] | far[1:], far[:-2] | far[1:-1] | far[2:]])
+        return np.where(own, -_grams(a, base + 0x110000), low)  # no profile has them; the product stays below 2**63
     two = a[:-1] * base + a[1:]
     three = two[:-1] * base + a[2:]
     out = np.concatenate([a[a > 0], base + two, base + base * base + three])
@@ -60,7 +65,7 @@ def ranked(text: str, alphabet: str, size: int = PROFILE) -> tuple[np.ndarray, n
     base = len(alphabet) + 2
     grams = _grams(_codes(text, alphabet), base)
     space = base + base * base + base**3
-    if len(grams) > 8_000 and space <= 1 << 20:
+    if len(grams) > 8_000 and space <= 1 << 20 and grams.min() >= 0:
         counts = np.bincount(grams, minlength=space)
         known = np.flatnonzero(counts)
         counts = counts[known]
@@ -111,21 +116,18 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = PROFILE)
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share[F.col("lang")])
     sample = S.cut(sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")), "language-sample")
     letters = F.explode(F.split(F.lower("text"), ""))
-    common = sample.select(letters.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(400).collect()
-    alphabet = "".join(r.c for r in common if len(r.c) == 1 and r.c.isalpha())[:90]
+    common = sample.select(letters.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").collect()  # a row per character
+    alphabet = "".join(r.c for r in common if len(r.c) == 1 and r.c.isalpha())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = len(alphabet) + 2
-        seen: dict[str, np.ndarray] = {}
         for batch in batches:
+            seen: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = _grams(_codes(text, alphabet), base)
-                here = seen.setdefault(lang, np.zeros(base + base * base + base**3, np.int64))
-                known, n = np.unique(grams, return_counts=True)
-                here[known] += n
-        for lang, n in seen.items():
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["lang", "gram", "n"])
+                seen.setdefault(lang, []).append(_grams(_codes(text, alphabet), base))
+            for lang, grams in seen.items():
+                used, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     total = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = total.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= size)

@@ -87,6 +87,18 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).collect()} == {"und"}
 
 
+def test_no_letter_is_folded_away(spark):
+    def word(first, rng):  # words of one length, so that only letters tell scripts apart
+        return "".join(chr(first + int(k)) for k in rng.integers(0, 24, 5))
+
+    rng = np.random.default_rng(3)
+    scripts = {"ka": 0x10D0, "am": 0x1200, "hangul": 0xAC00, "han": 0x4E00, "kana": 0x3041, "arab": 0x0620}
+    rows = [(" ".join(word(first, rng) for _ in range(30)), lang) for lang, first in scripts.items() for _ in range(12)]
+    profiles = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert all(profiles.predict(text)[0] == lang for text, lang in rows)
+    assert len(profiles.alphabet) > 90 and len(language.ranked("\u0436\u0449", "ab")[0]) == 2 + 3 + 2
+
+
 def test_ranking_by_both_ways_of_counting():
     text = text_in("en", np.random.default_rng(1), 4000)
     alphabet = "abcdefghijklmnopqrstuvwxyz"
