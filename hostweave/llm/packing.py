@@ -1,12 +1,14 @@
 """Packing of token sequences by a configuration linear program over the histogram of lengths.
 
 A configuration (pattern) is a multiset of lengths that fits one sequence. The covering program, the fewest
-sequences whose patterns hold every piece, is solved by multiplicative weights: each length carries a weight,
-a knapsack dynamic program prices the pattern of greatest weight, the pattern is used, and the weights of the
-lengths it serves fall in proportion. A round uses up at least one length, so the rounds that cover all are at
-most as many as the lengths. The solution is rounded down, and what that leaves over, less than one sequence a
-round whatever the corpus, is placed best-fit. The program sees a histogram of at most ``capacity`` rows, so
-its cost is the same for any corpus.
+sequences whose patterns hold every piece, is solved by multiplicative weights: a length's weight is its share of
+a sequence times the exponential of how far it lags behind in being covered, a knapsack dynamic program prices
+the best pattern through every length at once, and all patterns whose price is within ``WITHIN`` of the best are
+used. The step is bounded by the width: a pattern is used as often as a ``SHARE`` of what its scarcest length has
+left, rounded down, so that no length runs ahead of the others. Steps shrink with what is left, down to single
+sequences; the little that fits no priced pattern any more is placed best-fit. Every pricing also proves a lower
+bound, the weight of all pieces over the weight of the best pattern. The program sees a histogram of at most
+``capacity`` rows, and its rounds grow with the logarithm of the number of pieces.
 
 Tokenising is one map-side pass that writes a row per piece. A piece's rank within its length is the rank of
 its task plus a counter within the task, so no sort or window gathers one length anywhere; the rank is then
@@ -15,6 +17,7 @@ looked up among the patterns' slots.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -29,88 +32,127 @@ from . import _support as S
 from .pretokens import CACHE_ENTRIES, byte_bpe
 
 CAPACITY = 2048
-#: The share by which a round changes weights.
-STEP = 0.35
-#: How much the first weights favour long pieces; when a length is done.
-CONVEX = 0.5
-LEAST_LEFT = 0.999
+#: The share of a length's open pieces that one pattern may use in a round.
+SHARE = 0.1
+#: How much a length's weight grows by lagging, and how near the best price a pattern must be.
+STEP = 0.02
+WITHIN = 0.001
 
+log = logging.getLogger(__name__)
 
-def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length the pattern of greatest weight has: an unbounded knapsack by dynamic programming.
 
-    best[c] is the greatest weight that c tokens of room can hold; each step tries every length at once.
+def knapsack(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c], the greatest weight that c tokens of room can hold, and choice[c], the piece it takes first (or -1).
+
+    An unbounded knapsack by dynamic programming; each step tries every length at once. ``lengths`` ascend.
     """
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths_up, weights_up = lengths[order], weights[order]
-    fits = np.searchsorted(lengths_up, np.arange(capacity + 1), side="right")
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if k := fits[c]:
-            gain = best[c - lengths_up[:k]] + weights_up[:k]
-            j = int(gain.argmax())
+            gain = best[c - lengths[:k]] + weights[:k]
+            j = k - 1 - int(gain[::-1].argmax())  # the longest of equals, as short pieces are easier to place
             if gain[j] > best[c]:
-                best[c], choice[c] = gain[j], order[j]
-    pattern, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
+                best[c], choice[c] = gain[j], j
+    return best, choice
+
+
+def _filled(choice: np.ndarray, lengths: np.ndarray, room: int, pattern: dict[int, int]) -> dict[int, int]:
+    """``pattern`` (piece number to how many) with what the knapsack puts into ``room``."""
+    while room > 0:
+        if (j := int(choice[room])) < 0:
+            room -= 1
         else:
-            pattern[choice[c]] += 1
-            c -= int(lengths[choice[c]])
+            pattern[j] = pattern.get(j, 0) + 1
+            room -= int(lengths[j])
+    return pattern
+
+
+def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each length the pattern of greatest weight has, no more than ``limits``."""
+    order = np.argsort(lengths)
+    _, choice = knapsack(weights[order], lengths[order], capacity)
+    pattern = np.zeros(len(lengths), np.int64)
+    for j, n in _filled(choice, lengths[order], capacity, {}).items():
+        pattern[order[j]] = n
     return np.minimum(pattern, limits)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how many sequences follow each, which together hold exactly the histogram's pieces.
+def _within_stock(pattern: dict[int, int], lengths: np.ndarray, rest: np.ndarray, capacity: int) -> dict[int, int]:
+    """The pattern cut to the pieces there are, its room filled up with the longest that fit."""
+    cut = {k: min(n, int(rest[k])) for k, n in pattern.items()}
+    room = capacity - sum(int(lengths[k]) * n for k, n in cut.items())
+    for k in range(int(np.searchsorted(lengths, room, side="right")) - 1, -1, -1):
+        if lengths[k] <= room and (n := min(int(rest[k]) - cut.get(k, 0), room // int(lengths[k]))) > 0:
+            cut[k] = cut.get(k, 0) + n
+            room -= n * int(lengths[k])
+    return {k: n for k, n in cut.items() if n}
+
 
-    ``need`` are the covering constraints, ``left`` what the fractional solution does not cover yet. A round takes
-    the priced pattern as often as its scarcest length allows, which ends that length, and the weights of the
-    lengths it serves fall by the share of their need that it serves. It runs until no length is left, or for
-    ``rounds`` rounds, after which best-fit has the rest.
+def cover(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Patterns and how many sequences follow each, which together hold exactly the histogram's pieces; and a
+    number of sequences below which no packing can get.
+
+    The better of the program's solution and of plain best-fit is returned. ``rounds`` bounds the rounds of
+    the program; best-fit has the rest.
     """
-    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    out = []
-    if left:
-        least = min(left)
-        out = [({k: 1}, left.pop(k)) for k in sorted(left) if k + least > capacity]  # nothing fits beside these
-    if not left:
-        return out
-    lengths = np.array(sorted(left, reverse=True))
-    need = np.array([left[k] for k in lengths], float)
-    open_, use = need.copy(), {}
-    weights = lengths / capacity * (1 + CONVEX * lengths / capacity)  # a dual start that favours long pieces
-    for _ in range(len(lengths) if rounds is None else rounds):
-        live = np.flatnonzero(open_ >= LEAST_LEFT)
-        if not len(live):
+    need = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    if not need:
+        return [], 0
+    lengths = np.array(sorted(need))
+    wanted = np.array([need[int(k)] for k in lengths], np.int64)
+    rest, total = wanted.copy(), int(wanted.sum())
+    bound = max(-(-int(lengths @ wanted) // capacity), int(wanted[2 * lengths > capacity].sum()))
+    use: dict[tuple[tuple[int, int], ...], int] = {}
+
+    def take(pattern: dict[int, int], n: int) -> None:
+        for k, a in pattern.items():
+            rest[k] -= n * a
+        key = tuple(sorted(pattern.items()))
+        use[key] = use.get(key, 0) + n
+
+    for k in np.flatnonzero(lengths + lengths[0] > capacity):
+        take({int(k): 1}, int(rest[k]))  # nothing fits beside these
+    done, stuck = 0, False
+    while rest.any() and (rounds is None or done < rounds):
+        done += 1
+        live = np.flatnonzero(rest)
+        lag = rest / wanted / (rest.sum() / total) - 1
+        weights, up = (lengths / capacity * np.exp(STEP * lag.clip(-1, 1)))[live], lengths[live]
+        best, choice = knapsack(weights, up, capacity)
+        bound = max(bound, int(np.ceil(float(wanted[live] @ weights) / best[capacity] - 1e-6)))
+        through = weights + best[capacity - up]  # the best pattern that has the piece
+        near = np.flatnonzero(through >= (1 - WITHIN) * best[capacity])
+        taken = 0
+        for i in near[np.argsort(-lag[live[near]], kind="stable")].tolist():
+            if not rest[live[i]]:
+                continue
+            pattern = {int(live[k]): n for k, n in _filled(choice, up, capacity - int(up[i]), {i: 1}).items()}
+            if stuck:
+                pattern = _within_stock(pattern, lengths, rest, capacity)
+            n = min(int(rest[k] * SHARE) // a for k, a in pattern.items()) or int(all(rest[k] >= a for k, a in pattern.items()))
+            if n:
+                take(pattern, n)
+                taken += n
+        if not taken and int(rest @ lengths) <= capacity * len(lengths):
             break
-        pattern = np.zeros(len(lengths), np.int64)
-        most = np.floor(open_ + 0.001).astype(np.int64)
-        pattern[live] = price(weights[live], lengths[live], most[live], capacity)
-        room = capacity - int(pattern @ lengths)  # left where the price used a length more often than it is there
-        while len(more := np.flatnonzero((lengths <= room) & (most > pattern))):
-            k = more[0]
-            add = min(int(most[k] - pattern[k]), room // int(lengths[k]))
-            pattern[k], room = pattern[k] + add, room - add * int(lengths[k])
-        on = pattern > 0
-        x = float((open_[on] / pattern[on]).min())
-        use[tuple(pattern)] = use.get(tuple(pattern), 0.0) + x
-        open_ = np.maximum(open_ - x * pattern, 0)
-        weights = weights * (1 - STEP * np.minimum(x * pattern / need, 1))
-    rest = need.astype(np.int64)
-    for pattern, x in use.items():  # in the order in which they were priced
-        a = np.array(pattern)
-        on = a > 0
-        n = int(min(x + 1e-6, (rest[on] // a[on]).min()))
-        if n > 0:
-            rest -= n * a
-            out.append(({int(k): int(v) for k, v in zip(lengths[on], a[on], strict=True)}, n))
-    return out + best_fit({int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}, capacity)
+        stuck = not taken
+    tail = best_fit({int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}, capacity)
+    out = [({int(lengths[k]): a for k, a in key}, n) for key, n in use.items()] + tail
+    plain = _decreasing(need, capacity)
+    log.debug("program %d, plain best-fit %d sequences, %d rounds", sum(n for _, n in out), sum(n for _, n in plain), done)
+    return min(out, plain, key=lambda patterns: sum(n for _, n in patterns)), bound
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on counts: equal sequences are opened and filled together, not one by one."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """The patterns of ``cover``; how far they may be from the best is logged."""
+    patterns, bound = cover(histogram, capacity, rounds)
+    log.info("packing: %d sequences by %d patterns, at least %d are needed", sum(n for _, n in patterns), len(patterns), bound)
+    return patterns
+
+
+def _decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     left, out = dict(histogram), []
     while left:
         pattern, room = {}, capacity
@@ -123,6 +165,11 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on counts: equal sequences are opened and filled together, not one by one."""
+    return _decreasing(histogram, capacity)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with the task and the rank in it of its length."""
 

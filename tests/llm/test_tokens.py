@@ -149,3 +149,60 @@ def test_knapsack_price_is_optimal():
 def test_null_doc_id_is_refused_in_files(docs, spark, tmp_path):
     with pytest.raises(Exception, match="doc_id is null"):
         tokenfile.write_token_files(docs.withColumn("doc_id", F.lit(None).cast("bigint")), f"file://{tmp_path}/x", BYTE)
+
+
+def triples(n, capacity=2048, seed=0):
+    """A histogram of n triples of pieces that each fill a sequence to the last token."""
+    rng = np.random.default_rng(seed)
+    pool, found = rng.choice(np.arange(300, 1100), 320, replace=False), []
+    while len(found) < 320:
+        a, b = rng.choice(pool, 2)
+        if 200 < capacity - a - b < 1200:
+            found.append((int(a), int(b), int(capacity - a - b)))
+    histogram = {}
+    for three, times in zip(found, rng.multinomial(n, np.ones(320) / 320).tolist(), strict=True):
+        for k in three:
+            histogram[k] = histogram.get(k, 0) + times
+    return {k: v for k, v in histogram.items() if v}
+
+
+@pytest.mark.parametrize("n", [50_000, 500_000])
+def test_waste_stays_below_the_number_of_lengths(n):
+    histogram = triples(n)
+    patterns, bound = packing.cover(histogram)
+    assert bound == n <= sum(times for _, times in patterns) <= n + len(histogram)
+
+
+def fewest(pieces, capacity):
+    """The optimum for a handful of pieces, by trying every place for each."""
+    best = [len(pieces)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values():
+            place(i + 1, [*rooms[:k], rooms[k] - pieces[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_packings_are_near_the_optimum(seed):
+    rng = np.random.default_rng(seed)
+    pieces = sorted(map(int, rng.integers(3, 30, 11)), reverse=True)
+    histogram = {k: pieces.count(k) for k in pieces}
+    patterns, bound = packing.cover(histogram, 40)
+    used, want = sum(n for _, n in patterns), fewest(pieces, 40)
+    assert bound <= want <= used <= want + 1 and used <= sum(n for _, n in packing.best_fit(histogram, 40))
+    assert packing.cover({}, 40) == ([], 0)
+
+
+def test_log_normal_lengths_reach_the_bound():
+    lengths, counts = np.unique(np.clip(np.random.default_rng(1).lognormal(5.6, 0.8, 5000).astype(int), 1, 2048), return_counts=True)
+    patterns, bound = packing.cover(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
+    assert sum(n for _, n in patterns) == bound
