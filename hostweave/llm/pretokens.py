@@ -19,7 +19,7 @@ CACHED_CHARS = 40
 
 
 class ChunkCache(dict):
-    """chunk -> value, filled by ``make`` on a miss; two generations bound its size."""
+    """chunk -> value, filled from ``fixed`` or else by ``make`` on a miss; two generations bound its size."""
 
     def __init__(self, make, entries: int = CACHE_ENTRIES, fixed: dict | None = None):
         super().__init__()
@@ -27,9 +27,8 @@ class ChunkCache(dict):
 
     def __missing__(self, chunk):
         value = self.fixed.get(chunk)
-        if value is not None:
-            return value
-        value = self.old.get(chunk)
+        if value is None:
+            value = self.old.get(chunk)
         if value is None:
             value = self.make(chunk)
         if len(chunk) <= CACHED_CHARS:

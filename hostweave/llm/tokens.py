@@ -1,8 +1,9 @@
 """Token counts of whole texts by a two-tier lookup on the map side.
 
 A broadcast table holds the counts of the most frequent pre-tokens, so most lookups end there; what it lacks
-is encoded once and kept in a bounded cache of the worker. No pre-token is shuffled and the scan is the only
-stage over the texts. The table is only an accelerator: any table, or none, gives the same counts.
+is encoded once and kept in a bounded cache of the worker. No pre-token is shuffled. All texts are read in one
+scan; the table is chosen before it, from the ids alone and then the texts of the rows drawn. The table is
+only an accelerator: any table, or none, gives the same counts.
 """
 
 from __future__ import annotations
@@ -17,17 +18,17 @@ from pyspark.sql import functions as F
 from . import _support as S
 from .pretokens import CACHE_ENTRIES, piece_chunks, piece_count, piece_counts
 
-#: Entries of the broadcast table, and rows and characters of the texts from which its pre-tokens are chosen.
+#: Entries of the broadcast table, and rows of the texts from which its pre-tokens are chosen.
 FREQUENT = 40_000
 SAMPLE_ROWS = 1_000
-SAMPLE_CHARS = 20_000
 
 
-def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, rows: int = SAMPLE_ROWS, text: str = "text") -> dict[str, int]:
+def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> dict[str, int]:
     """The table's pre-tokens and their counts, at most ``entries``, from a bounded sample of the texts.
 
-    The sample is the texts of least hashes, found from bare hashes, and again at most ``rows`` where copies
-    share a hash; a single task counts it and the driver gets ``entries`` rows at most.
+    The sample is whole texts of the rows whose ids have the least hashes, which are found without reading a
+    text, and again at most ``rows`` where rows share an id; a single task counts it, the driver gets
+    ``entries`` rows at most.
     """
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +40,9 @@ def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, row
         best = [(w, count(w)) for w, n in seen.most_common(entries) if n > 1 and len(w) <= 40]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int32())], ["chunk", "n"])
 
-    known = docs.filter(F.col(text).isNotNull()).withColumn("o", F.xxhash64(F.col(text)))
-    last = known.select("o").orderBy("o").limit(rows).agg(F.max("o").alias("o")).first().o  # of bare hashes
-    sample = known.filter(F.col("o") <= F.lit(last)).select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).limit(rows).coalesce(1)
+    order = F.xxhash64(F.col(doc_id))
+    last = docs.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o").alias("o")).first().o  # of bare hashes
+    sample = docs.filter(order <= F.lit(last)).filter(F.col(text).isNotNull()).select(F.col(text).alias("t")).limit(rows).coalesce(1)
     return {r.chunk: r.n for r in sample.mapInArrow(top, "chunk string, n int").collect()}
 
 
