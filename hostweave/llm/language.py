@@ -5,7 +5,8 @@ A text's own n-grams are ranked alike; the distance to a profile is the sum, ove
 of how far each is out of place, with ``PROFILE`` for one the profile lacks. The nearest profile wins.
 
 Profiles are learnt from a bounded sample of labelled texts for each language, counted where the texts are;
-only profiles reach the driver. Scoring is one map-side pass over whole texts.
+only profiles reach the driver, ``PROFILE`` n-grams for each language there is. Rows are drawn by their ids, so
+that drawing reads no text. Scoring is one map-side pass over whole texts.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from . import _support as S
 
 #: Ranked n-grams of a profile and of a text.
 PROFILE = 300
-#: Labelled texts of a language that profiles are learnt from (about: a hash of the row decides), and their characters.
+#: Labelled texts of a language that profiles are learnt from, whole; those of least hashes are taken.
 SAMPLE_ROWS = 600
-SAMPLE_CHARS = 20_000
+#: Letters of a text whose n-grams are counted at once while learning; only memory depends on it.
+STRETCH = 1 << 20
 UNKNOWN = "und"
 
 
@@ -105,28 +107,57 @@ class Profiles:
         return self.languages[best], float(1.0 - distance[best] / (self.size * len(grams)))
 
 
-def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = PROFILE) -> Profiles:
-    """Profiles from labelled rows (text, lang); rows without text or language teach nothing."""
-    spark = rows.sparkSession
-    rows = rows.filter("text is not null and lang is not null").select("text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
-    if not counts:
-        return Profiles("", {}, size)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, (sample_rows << 30) // n))])
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share[F.col("lang")])
-    sample = S.cut(sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")), "language-sample")
-    letters = F.explode(F.split(F.lower("text"), ""))
+def _sample(rows: DataFrame, size: int) -> DataFrame:
+    """lang, text of at most ``size`` rows (lang, text, o) of each language: those of least ``o``.
+
+    First the languages' greatest hash is found without reading a text, then rows up to it; a row limit
+    follows, as many rows may share a hash.
+    """
+    first = Window.partitionBy("lang").orderBy("o")
+    last = rows.select("lang", "o").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= size).groupBy("lang").agg(F.max("o").alias("last"))
+    near = rows.join(last, "lang").filter("o <= last").select("lang", "text", "o")
+    return near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= size).select("lang", "text")
+
+
+def _counted(text: str, alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of a text and how often each is there, a stretch of letters at a time."""
+    codes, base = _codes(text, alphabet), len(alphabet) + 2
+    parts = []
+    for i in range(0, max(1, len(codes)), STRETCH):
+        part = codes[i : i + STRETCH + 2]
+        used, n = np.unique(_grams(part, base), return_counts=True)
+        if len(codes) > i + STRETCH:  # what begins after the stretch belongs to the next
+            next_, m = np.unique(_grams(part[STRETCH:], base), return_counts=True)
+            n[np.searchsorted(used, next_)] -= m
+        parts.append((used, n))
+    return _summed(parts)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, n = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+    used, at = np.unique(grams, return_inverse=True)
+    return used, np.bincount(at.reshape(-1), n, len(used)).astype(np.int64)
+
+
+def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = PROFILE, order: Column | None = None) -> Profiles:
+    """Profiles from labelled rows (text, lang); rows without text or language teach nothing.
+
+    ``order``: a hash by which rows are drawn, one of the text if it is not given.
+    """
+    rows = rows.filter("text is not null and lang is not null")
+    rows = rows.select("lang", "text", (F.xxhash64("text") if order is None else order).alias("o"))
+    sample = S.cut(_sample(rows, sample_rows), "language-sample")
+    letters = F.explode(F.array_distinct(F.split(F.lower("text"), "")))
     common = sample.select(letters.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").collect()  # a row per character
     alphabet = "".join(r.c for r in common if len(r.c) == 1 and r.c.isalpha())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = len(alphabet) + 2
         for batch in batches:
-            seen: dict[str, list[np.ndarray]] = {}
+            seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, []).append(_grams(_codes(text, alphabet), base))
-            for lang, grams in seen.items():
-                used, n = np.unique(np.concatenate(grams), return_counts=True)
+                seen.setdefault(lang, []).append(_counted(text, alphabet))
+            for lang, parts in seen.items():
+                used, n = _summed(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     total = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -134,6 +165,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = PROFILE)
     profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "k").collect():  # `size` rows per language
         profiles.setdefault(r.lang, []).append(r.gram)
+    S.discard(sample)
     return Profiles(alphabet, {k: np.array(v, np.int64) for k, v in profiles.items()}, size)
 
 
@@ -141,11 +173,14 @@ def identify(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text:
     """doc_id, lang_pred, score of every row, with profiles learnt from rows where ``learn_from`` holds.
 
     A text that is null or has no letter is ``und`` with score 0, and so is any text if there is nothing to
-    learn from. Repeated rows give repeated results. Other columns are not read; an empty table gives no rows.
+    learn from. Of languages equally near the first by name is given. Repeated rows give repeated results, and
+    null doc_ids stay; a row for which ``learn_from`` is null teaches nothing. Other columns are not read; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     S.bounded_batches(spark)
-    profiles = learn(docs.filter(learn_from).select(F.col(text).alias("text"), F.col(lang).alias("lang")), sample_rows)
+    rows = docs.filter(learn_from).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("drawn"))
+    profiles = learn(rows, sample_rows, order=F.col("drawn"))
     shared = spark.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
