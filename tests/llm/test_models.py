@@ -155,3 +155,120 @@ def test_vectors(spark, per_pivot, block):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert embeddings.near_vectors(df).count() == 0
+
+
+# ---- learning from whole texts and bounded rows ----------------------------------------------------------
+
+
+def test_toxic_words_late_in_a_long_text_are_learnt(spark):
+    rng = np.random.default_rng(6)
+    plain = [a + b + c for a in "abcdefgh" for b in "klmnop" for c in "uvw"]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(plain, 9000 if i % 8 == 0 else 30))
+        toxic = i % 4 == 0
+        rows.append((i, " ".join([*words, "vilefoo"] if toxic else words), "en", int(toxic)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    model = toxicity.learn(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int"))
+    scorer = toxicity.Scorer(model)
+    assert np.mean([(scorer.score(t) >= 0.5) == bool(y) for _, t, _, y in rows]) > 0.97
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, weight: seen.append(sample))
+    text = "same words"
+    docs = spark.range(40).selectExpr("id % 2 as doc_id", f"'{text}' as text", "'en' as lang").unionAll(spark.createDataFrame([(4, "x" * 500, "en"), (None, "y", "en"), (5, None, "en")], "doc_id bigint, text string, lang string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1)], "doc_id bigint, toxic int")
+    toxicity.learn(docs, labels, folds=10**6, sample_bytes=100)
+    toxicity.learn(docs, labels, folds=10**6)
+    assert sorted(t for t, _, _ in seen[0]) == [text] * 2 and sorted(len(t) for t, _, _ in seen[1]) == [10, 10, 500]
+
+
+def naive_logit(model, text):
+    """The classifier's formula place by place."""
+    words = toxicity.words_of(text)
+    vectors = [model.embeddings[toxicity.buckets([w])[0]].sum(axis=0) for w in words]
+    pooled, column = [], 0
+    for span in toxicity.SPANS:
+        best = np.zeros(toxicity.FILTERS)
+        for at in range(len(words)):
+            total = model.bias[len(pooled) : len(pooled) + toxicity.FILTERS].copy()
+            for j in range(span):
+                if at + j < len(words):
+                    total += vectors[at + j] @ model.filters[:, column + j * toxicity.FILTERS : column + (j + 1) * toxicity.FILTERS]
+            best = np.maximum(best, total)
+        pooled += best.tolist()
+        column += span * toxicity.FILTERS
+    return float(np.array(pooled) @ model.weights + model.offset)
+
+
+def test_scores_equal_the_plain_forward_pass(labelled):
+    model = toxicity.fit([(t, y, g) for _, t, g, y in labelled[:300]], 1.0)
+    for text in [labelled[400][1], labelled[401][1] + " vilefoo", "one", "", None]:
+        assert toxicity.Scorer(model, stretch=7).raw(text)[0] == pytest.approx(naive_logit(model, text), abs=1e-4)
+
+
+def test_training_follows_the_gradient():
+    """A step along the numerical gradient's sign: loss falls with training and words of one label part."""
+    texts, labels = ["aa bb cc", "aa bb dd", "ee bb cc", "ee dd"] * 8, np.array([1.0, 1.0, 0.0, 0.0] * 8)
+
+    def loss(epochs):
+        m = toxicity.train(texts, labels, epochs=epochs)
+        z = np.array([naive_logit(m, t) for t in texts[:4]])
+        return float(np.mean(np.log1p(np.exp(-z * (2 * labels[:4] - 1)))))
+
+    assert loss(40) < loss(10) < loss(0)
+
+
+def test_language_sample_is_exact_and_bounded(spark):
+    rows = spark.range(500).selectExpr("'en' as lang", "'one text' as text", "1L as o").unionAll(spark.range(90).selectExpr("'de' as lang", "cast(id as string) as text", "id as o")).repartition(7)
+    got = language._sample(rows, 20).collect()
+    assert sum(r.lang == "en" for r in got) == 20 and sorted(int(r.text) for r in got if r.lang == "de") == list(range(20))
+
+
+@pytest.mark.parametrize("stretch", [5, 64, 1 << 20])
+def test_counting_by_stretches(stretch, monkeypatch):
+    text = text_in("el", np.random.default_rng(2), 60)
+    alphabet = "".join(sorted({c for c in text.lower() if c.isalpha()}))
+    want = np.unique(language._grams(language._codes(text, alphabet), len(alphabet) + 2), return_counts=True)
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    used, n = language._counted(text, alphabet)
+    assert used[n > 0].tolist() == want[0].tolist() and n[n > 0].tolist() == want[1].tolist()
+
+
+def naive_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    joined = " " + " ".join(words) + " "
+    return [c for w in words for c in w] + [joined[i : i + 2] for i in range(len(joined) - 1)] + [joined[i : i + 3] for i in range(len(joined) - 2)]
+
+
+def test_distance_is_out_of_place(spark):
+    """Scores against a plain out-of-place distance; ties of rank are broken as the operator breaks them."""
+    rng = np.random.default_rng(12)
+    rows = [(text_in(g, rng, 40), g) for g in SYLLABLES for _ in range(5)]
+    profiles = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    base = len(profiles.alphabet) + 2
+    number = {" ": 0} | {c: i + 2 for i, c in enumerate(profiles.alphabet)}
+
+    def code(gram):
+        v = [number[c] for c in gram]
+        return v[0] if len(v) == 1 else base + v[0] * base + v[1] if len(v) == 2 else base + base * base + (v[0] * base + v[1]) * base + v[2]
+
+    def top(texts):
+        counts = {}
+        for t in texts:
+            for g in naive_grams(t):
+                counts[g] = counts.get(g, 0) + 1
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[: language.PROFILE]
+
+    learnt = {g: {x: i for i, x in enumerate(top([t for t, h in rows if h == g]))} for g in SYLLABLES}
+    for g in SYLLABLES:
+        text = rows[0][0] + " " + text_in(g, np.random.default_rng(5), 12)
+        mine = top([text])
+        if any(c not in number for c in text.lower() if c.isalpha()):
+            continue
+        distance = {k: sum(min(abs(p.get(x, 10**9) - i), language.PROFILE) for i, x in enumerate(mine)) for k, p in learnt.items()}
+        best = min(sorted(distance), key=distance.get)
+        lang, score = profiles.predict(text)
+        assert lang == best and score == pytest.approx(1 - distance[best] / (language.PROFILE * len(mine)))
