@@ -77,11 +77,37 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 @contextlib.contextmanager
-def batches(spark: SparkSession, rows: int):
-    """Larger Arrow batches for jobs within the block, whose rows are a few numbers each."""
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for jobs within the block; what was set before is set again after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def batches(spark: SparkSession, rows: int):
+    """Larger Arrow batches for jobs within the block, whose rows are a few numbers each."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+
+
+#: Rows of one key up to which it is never split.
+HOT_LEAST = 500
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, spread: list[str], count: str = "n") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``count`` how many of ``rows`` have it.
+
+    A key with over a quarter of a partition's even share of all ``total`` rows is dealt out by a hash of the
+    columns ``spread``. At most four such keys a partition can exist, which bounds the list that is broadcast.
+    """
+    width = shuffle_width(rows.sparkSession)
+    most = max(HOT_LEAST, total // (4 * width))
+    parts = F.ceil(F.col(count) / most).cast("int")
+    hot = table.filter(F.col(count) > most).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count)
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")

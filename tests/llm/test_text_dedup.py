@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from hostweave.llm import _support as S
 from hostweave.llm import components, decontaminate, lines, queries, simhash, substrings
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -199,3 +200,58 @@ def test_lines(spark, broadcast_entries):
     assert got[(10, f"page 0\n{foot}")] == (2, 0) and got[(23, "")] == (1, 1) and got[(24, "")] == (1, 1)
     assert lines.drop_boilerplate(df, broadcast_entries=broadcast_entries).count() == len(rows)
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("batches", [5, 6])
+def test_substrings_in_many_batches(docs, corpus, batches):
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(docs, batches=batches, window=12, gram=5).collect()}
+    assert got == brute_repeats(corpus, 12)
+
+
+def test_rows_that_share_a_doc_id_take_nothing_from_each_other(spark):
+    t, u = " ".join(WORDS[:60]), " ".join(WORDS[100:170])
+    rows = spark.createDataFrame([(1, t), (2, t), (2, u), (2, u), (3, f"{u} tail"), (2, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(rows, batches=1).collect())
+    assert got == [(1, 60, 0), (2, 0, 0), (2, 60, 60), (2, 70, 0), (2, 70, 0), (3, 71, 70)]
+
+
+def test_doubly_repetitive_words_are_told_apart(spark):
+    """Patterns on which polynomials modulo a power of two collide, whatever their base."""
+    def thue_morse(n):
+        return [bin(i).count("1") % 2 for i in range(n)]
+
+    a, b = (" ".join("xy"[k ^ flip] for k in thue_morse(2048)) for flip in (0, 1))
+    rows = [(1, a), (2, b), (3, f"{a} z")]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), batches=2).collect()}
+    assert got == brute_repeats(rows, 50)
+
+
+def test_runs_meet_without_a_shuffle_and_are_merged_by_size(spark, docs, corpus):
+    with substrings.FingerprintIndex(spark, 12, 5) as index:
+        ids = sorted(i for i, _ in corpus)
+        parts = [docs.filter(F.col("doc_id").between(ids[k], ids[min(k + 15, len(ids)) - 1])) for k in range(0, 60, 15)]
+        for part in parts[:3]:
+            index.ingest(part, compact=False)
+        assert len(index.runs) == 3
+        own = index.runs.pop()
+        with S.settings(spark, substrings._MERGE):
+            flagged, theirs = index.merge_join(own)
+            for df in (flagged, theirs):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan and "Sort [" not in plan
+        index.runs.append(own)
+        entries = sum(run._entries for run in index.runs)
+        index.compact()
+        assert len(index.runs) < 3 and sum(run.agg(F.sum("n")).first()[0] for run in index.runs) >= entries
+        for run in index.runs:
+            assert run.groupBy("h", "r", "q").count().filter("count > 1").count() == 0
+        names = [run._name for run in index.runs]
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_salted_join_deals_hot_keys_out(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_LEAST", 10)
+    rows = spark.range(500).selectExpr("if(id < 300, 0, id) as k", "id as v")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    got = S.salted_join(rows, table, ["k"], 500, ["v"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted((0, v, 299) if v < 300 else (v, v, v) for v in range(500))
