@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DataType, NumericType, StringType
 
 #: Bytes and rows that one Arrow batch may hold on its way to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -98,16 +99,28 @@ def batches(spark: SparkSession, rows: int):
 HOT_LEAST = 500
 
 
+def _no_key(kind: DataType):
+    """Some value of a key's type, or None where it is not known how to write one."""
+    if isinstance(kind, NumericType):
+        return F.lit(0).cast(kind)
+    return {StringType: F.lit(""), BinaryType: F.lit(bytearray()), BooleanType: F.lit(False)}.get(type(kind))
+
+
 def salted_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, spread: list[str], count: str = "n") -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and in ``count`` how many of ``rows`` have it.
 
     A key with over a quarter of a partition's even share of all ``total`` rows is dealt out by a hash of the
-    columns ``spread``. At most four such keys a partition can exist, which bounds the list that is broadcast.
+    columns ``spread``. At most four such keys a partition can exist, which bounds the list that is broadcast. The
+    list always has one key more, undealt, so that the plan is the same whether there are hot keys or not.
     """
-    width = shuffle_width(rows.sparkSession)
-    most = max(HOT_LEAST, total // (4 * width))
+    spark = rows.sparkSession
+    most = max(HOT_LEAST, total // (4 * shuffle_width(spark)))
     parts = F.ceil(F.col(count) / most).cast("int")
     hot = table.filter(F.col(count) > most).select(*on, parts.alias("_parts"))
+    none = [_no_key(table.schema[c].dataType) for c in on]
+    if all(v is not None for v in none):
+        one = spark.range(1).select(*(v.alias(c) for v, c in zip(none, on, strict=True)), F.lit(1).alias("_parts"))
+        hot = hot.unionAll(one).groupBy(*on).agg(F.max("_parts").alias("_parts"))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count)
     return dealt.join(copies, [*on, "_salt"]).drop("_salt")
