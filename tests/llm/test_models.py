@@ -272,3 +272,31 @@ def test_distance_is_out_of_place(spark):
         best = min(sorted(distance), key=distance.get)
         lang, score = profiles.predict(text)
         assert lang == best and score == pytest.approx(1 - distance[best] / (language.PROFILE * len(mine)))
+
+
+def test_vectors_that_share_an_id_are_told_apart(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, [0.999, 0.01, 0.0], 0), (3, [0.01, 0.999, 0.0], 0), (None, a, 0), (5, a, 1), (6, None, 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted(map(str, (tuple(r) for r in embeddings.near_vectors(df, per_pivot=2).collect())))
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, False), (5, 0, 5, True), (6, 0, 6, True), (None, 0, None, False)]
+    assert got == sorted(map(str, want))
+
+
+def test_cells_save_comparisons(spark):
+    """At the default cell size a few thousand vectors lie in many cells, and fewer pairs meet than there are."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    rows = [(int(i), (centres[i % 40] + 0.3 * rng.normal(size=24)).tolist(), int(i % 2)) for i in range(4000)]
+    units = embeddings.unit_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    found = embeddings.cells(embeddings.distinct_vectors(units), 0.98).groupBy("label", "cell").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(found) == 2 * 4 and sum(r.h for r in found) == 4000
+    met, pairs = sum(r.h * (r.h - 1) // 2 + r.h * (r.n - r.h) for r in found), 2 * 2000 * 1999 // 2
+    assert met < 0.75 * pairs
+
+
+def test_string_labels_and_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_LEAST", 3)
+    rows = [(i, [1.0, 2.0], "x") for i in range(40)] + [(50 + i, [float(i), 1.0], "y") for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    assert sorted(tuple(r) for r in embeddings.near_vectors(df, per_pivot=3).collect()) == brute(rows)
