@@ -76,3 +76,33 @@ def test_entry_works_without_the_corpus_part():
 
     code = "import sys; sys.modules['hostweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=corpus_pipeline.__file__.rpartition("/")[0])
+
+
+def odd_rows(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd"))
+    rows = [(3, a), (7, a), (7, b), (9, "see"), (9, "see"), (None, a), (None, "lone words of its own"), (4, None), (5, ""), (8, " \n")]
+    docs = spark.createDataFrame([(i, t, None if i == 9 else "en", "s", len(t or ""), 1, "x", True, 0.5) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, line_count int, score string, contaminated boolean, n_words double")
+    return rows, docs
+
+
+def test_survivors_are_rows(spark, sf):
+    rows, docs = odd_rows(spark)
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, sf)
+    assert kept.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([rows[0], rows[2], (9, "see"), (None, "lone words of its own"), (4, None)], key=str)
+
+
+def test_stages_on_odd_rows_and_extra_columns(spark, sf):
+    rows, docs = odd_rows(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        if name == "line_dedup":  # a text on three of ten pages of the source is boilerplate; its rows stay
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+        elif name != "simhash_near_dedup":  # clean documents stay
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str), name
+        assert all((r.line_count, r.score, r.contaminated, r.n_words) == (1, "x", True, 0.5) for r in got), name
+    assert corpus_pipeline.best_fit_packing(spark, docs, sf).count() == len(rows)
