@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from hostweave.functions import domains as D
 from hostweave.functions import formats
 from hostweave.operators import audit, discovery, graph, history, quality
+from hostweave.plans import sample_files as F_
 from hostweave.plans import sample_graph as G
-from hostweave.plans import setup
+from hostweave.plans import scan, setup
 from hostweave.plans.sample_graph import table as _table
+from hostweave.sources import text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,17 +128,9 @@ def graph_summary(spark, d):
 @query(_sql("""select name, count(*) as n_rows, count(*) filter (where rev <= before) as name_violations, count(*) filter (where id <= id_before) as id_violations
   from (select 'by_id' as name, rev, id, lag(rev) over (order by id) as before, lag(id) over (order by id) as id_before from vx) group by name"""))
 def sortedness_flags(spark, d):
-    # neighbours in id order without a global window: blocks of ids, each with the last row of the block before
-    block = F.floor(F.col("id") / 1000)
-    v = G.vertices(spark, d).withColumn("block", block)
-    from pyspark.sql import Window
-
-    last = v.groupBy("block").agg(F.max_by("rev", "id").alias("rev"), F.max("id").alias("id"))
-    edge = last.select((F.col("block") + 1).alias("block"), "rev", "id", F.lit(True).alias("carried"))
-    w = Window.partitionBy("block").orderBy("id")
-    rows = v.select("block", "rev", "id", F.lit(False).alias("carried")).unionAll(edge)
-    rows = rows.withColumns({"before": F.lag("rev").over(w), "id_before": F.lag("id").over(w)}).filter("not carried")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("rev") <= F.col("before")).alias("name_violations"), F.count_if(F.col("id") <= F.col("id_before")).alias("id_violations")).withColumn("name", F.lit("by_id"))
+    place = F.struct(F.lit("by_id").alias("file_path"), F.lit(0).alias("file_block_start"), F.col("id").alias("line"))
+    found = quality.order_breaks(G.vertices(spark, d).withColumn("place", place), ["rev", "id"])
+    return found.select(F.lit("by_id").alias("name"), "n_rows", F.col("breaks_rev").alias("name_violations"), F.col("breaks_id").alias("id_violations"))
 
 
 # ---- targets ---------------------------------------------------------------------------------------------
@@ -151,12 +145,12 @@ def resolve_targets(spark, d, every=10):
 
 @query("select 'nowhere.example' as domain, 'example.nowhere' as rev union all select 'absent.example', 'example.absent'")
 def missing_targets(spark, d):
-    return graph.missing(G.vertices(spark, d), _targets(spark, d)).select("domain", "rev")
+    return graph.missing(G.vertices(spark, d), _targets(spark, d, 1)).select("domain", "rev")
 
 
 @query("select 'example.nowhere.json' as file, false as found, 'nowhere.example' as domain union all select 'example.absent.json', false, 'absent.example'")
 def not_found_stubs(spark, d):
-    t = graph.missing(G.vertices(spark, d), _targets(spark, d))
+    t = graph.missing(G.vertices(spark, d), _targets(spark, d, 1))
     return t.select(F.concat(D.safe_file_name(F.col("rev")), F.lit(".json")).alias("file"), F.lit(False).alias("found"), "domain")
 
 
@@ -252,13 +246,67 @@ def scan_report(spark, d, every=10):
 
 # ---- the same for all domains ----------------------------------------------------------------------------
 
-#: Queries that answer every tenth domain; each has a form ``<name>_of_all`` whose targets are all vertices.
+#: These are registered as ``<name>_of_all`` alone, with all vertices as targets; the functions take ``every`` tenth
+#: domain, which serves benchmarks.
 BATCH = (resolve_targets, inbound_links, outbound_links, inbound_capped, outbound_capped, link_report_pagerank, link_report_harmonic, csv_rows, report_headers, scan_report)
 
 for _f in BATCH:
     _all = update_wrapper(partial(_f, every=1), _f)
     _all.__name__ = f"{_f.__name__}_of_all"
-    query(ORACLE[_f.__name__].replace("from vx where id % 10 = 0", "from vx"))(_all)
+    query(ORACLE.pop(_f.__name__).replace("from vx where id % 10 = 0", "from vx"))(_all)
+    del QUERIES[_f.__name__]
+
+
+# ---- the graph as text files, read back, scanned, and indexed ---------------------------------------------
+
+_ALL = _TARGETS.replace("where id % 10 = 0", "")
+_NAMED = "nt as (select node_id, " + _DOMAIN.format("rev") + " as target from tg)"
+
+
+@query(_sql("select id, rev from vx"))
+def text_vertices(spark, d):
+    return text.read_vertices(spark, F_.sources(spark, d, packed=True)["vertices"]).select("id", "rev")
+
+
+@query(_sql("select from_id, to_id, count(*) as n from raw group by all"))
+def text_edges(spark, d):
+    return text.read_edges(spark, F_.sources(spark, d)["edges"]).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_sql("select rev, cast(pagerank as double) as pagerank, cast(harmonic as double) as harmonic, pagerank_position, harmonic_position from rk"))
+def text_ranks(spark, d):
+    return text.read_ranks(spark, F_.sources(spark, d, packed=True)["ranks"])
+
+
+@query(_sql("select true as by_name, true as by_id, count(*) as node_count, max(id) + 1 as node_capacity from vx"))
+def text_vertices_summary(spark, d):
+    facts = quality.summarize_vertices(text.read_vertices(spark, F_.sources(spark, d, packed=True)["vertices"]))
+    return _rows(spark, [(facts.sorted_by_name, facts.sorted_by_id, facts.node_count, facts.node_capacity)], "by_name boolean, by_id boolean, node_count bigint, node_capacity bigint")
+
+
+def _names(spark, d):
+    return [r.name for r in G.vertices(spark, d).select(D.from_reverse(F.col("rev")).alias("name")).collect()]
+
+
+@query(_sql(_ALL, _NAMED, _links_sql("inbound", 20000), _links_sql("outbound", 20000), "select target, direction, ord, domain, rank, position from (select * from out_inbound union all select * from out_outbound) join nt using (node_id)"))
+def store_links(spark, d):
+    return F_.store(spark, d).engine().links(_names(spark, d))
+
+
+@query(_sql(_ALL, _NAMED, """tt as (
+  select node_id, (select count(*) from ed where to_id = node_id) as inbound_total, (select count(*) from ed where from_id = node_id) as outbound_degree from tg)""",
+"select target as domain, node_id, cast(pagerank as double) as rank, nullif(pagerank_position, 0) as position, inbound_total, outbound_degree from nt join tt using (node_id) join nr on id = node_id"))
+def store_headers(spark, d):
+    return F_.store(spark, d).engine().headers(_names(spark, d)).select("domain", "node_id", "rank", "position", "inbound_total", "outbound_degree")
+
+
+_SCANNED = _scan_sql().replace("where id % 10 = 0", "").replace("select *, row_number()", "select direction, target, domain, cast(rank as double) as rank, row_number()").replace(", count(*) over (partition by direction, node_id) as total from nm", " from nm join nt using (node_id)")
+_SCANNED = _SCANNED.replace("lk as (", _NAMED + ",\nlk as (", 1)
+
+
+@query(_SCANNED)
+def scan_file_links(spark, d):
+    return scan.scan_links(spark, F_.sources(spark, d), _names(spark, d))[1]
 
 
 # ---- degrees ---------------------------------------------------------------------------------------------

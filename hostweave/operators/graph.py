@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from enum import Enum
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +94,31 @@ def neighbours(edges: DataFrame, found: DataFrame, rows: int, options: Options =
     return out[0].unionAll(out[1]) if len(out) == 2 else out[0] if out else none
 
 
+def raw_neighbours(edges: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """What ``neighbours`` gives in both directions, from raw edges in one scan: only links of targets are made distinct."""
+    here, there = (maybe_broadcast(found.select(F.col("node_id").alias(c)), rows) for c in ("source", "goal"))
+    e = edges.filter("from_id <> to_id").join(here, F.col("from_id") == F.col("source"), "left").join(there, F.col("to_id") == F.col("goal"), "left")
+    link = [F.struct(F.lit(d).alias("direction"), F.col(n).alias("node_id"), F.col(o).alias("id")) for d, n, o in (("inbound", "goal", "from_id"), ("outbound", "source", "to_id"))]
+    links = e.filter("source is not null or goal is not null").select(F.explode(F.array(*link)).alias("link")).select("link.*")
+    return links.filter("node_id is not null").distinct()
+
+
+def ranges(ids: list[int], most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` closed ranges that hold all ids, parted at the widest gaps."""
+    ids = sorted(set(ids))
+    if not ids:
+        return []
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    starts = [0, *sorted(gaps)]
+    return [(ids[i], ids[j - 1]) for i, j in zip(starts, [*starts[1:], len(ids)], strict=True)]
+
+
+def within(column: str, ids: list[int]) -> Column:
+    """Whether a column lies in the ranges of ids: a condition of literals, which prunes row groups of sorted files."""
+    parts = [F.col(column) == low if low == high else F.col(column).between(low, high) for low, high in ranges(ids)]
+    return reduce(or_, parts) if parts else F.lit(False)
+
+
 def capped(links: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` links of a node and direction by ascending neighbour id, before any ranking."""
     w = Window.partitionBy("direction", "node_id").orderBy("id")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lines of a file within which one task judges their order.
+STRETCH = 1 << 20
+
+
 @dataclass(frozen=True)
 class VertexSummary:
     node_count: int
@@ -22,38 +24,30 @@ class VertexSummary:
         return self.max_id + 1
 
 
-def sortedness(df: DataFrame, columns: list[str]) -> dict[str, bool]:
-    """For each column whether it strictly ascends along ``place``, in byte order for strings.
+def order_breaks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """n_rows and for each column ``breaks_<column>``: rows that don't exceed the row before them along ``place``.
 
-    Every stretch of the file reports its first and last value and whether it ascends within; the stretches,
-    a row a partition and block, are then laid end to end.
+    Strings compare in byte order. Rows are judged within stretches of ``STRETCH`` lines at most, each of which
+    reports its first and last value; then the stretches, a row each, are laid end to end.
     """
+    stretch = [F.col("place.file_path").alias("file"), F.col("place.file_block_start").alias("block"), F.floor(F.col("place.line") / STRETCH).alias("part")]
+    key = ["file", "block", "part"]
+    rows = df.select(*stretch, F.col("place.line").alias("line"), *columns)
+    along = Window.partitionBy(*key).orderBy("line")
+    rows = rows.withColumns({f"breaks_{c}": (F.col(c) <= F.lag(c).over(along)).cast("bigint") for c in columns})
+    ends = [f(c, "line").alias(f"{name}_{c}") for c in columns for name, f in (("first", F.min_by), ("last", F.max_by))]
+    parts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"breaks_{c}").alias(f"breaks_{c}") for c in columns), *ends)
+    over = Window.orderBy(*key)
+    parts = parts.withColumns({f"gap_{c}": (F.col(f"first_{c}") <= F.lag(f"last_{c}").over(over)).cast("bigint") for c in columns})
+    zero = F.lit(0).cast("bigint")
+    found = [(F.coalesce(F.sum(f"breaks_{c}"), zero) + F.coalesce(F.sum(f"gap_{c}"), zero)).alias(f"breaks_{c}") for c in columns]
+    return parts.agg(F.coalesce(F.sum("n"), zero).alias("n_rows"), *found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, dict] = {}
-        for batch in batches:
-            for key, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen = state.get(key)
-                packed = [v.encode() if isinstance(v, str) else v for v in values]
-                if seen is None:
-                    state[key] = {"first": packed, "last": packed, "ok": [True] * len(values)}
-                else:
-                    seen["ok"] = [o and a < b for o, a, b in zip(seen["ok"], seen["last"], packed, strict=True)]
-                    seen["last"] = packed
-        import pickle
-
-        for key, seen in state.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pickle.dumps(seen)], pa.binary())], ["key", "seen"])
-
-    key = F.concat_ws("|", F.col("place.file_path"), F.lpad(F.col("place.file_block_start").cast("string"), 20, "0"))
-    import pickle
-
-    rows = df.select(key.alias("key"), *columns).mapInArrow(run, "key string, seen binary").orderBy("key").collect()
-    parts = [pickle.loads(bytes(r.seen)) for r in rows]
-    out = {}
-    for i, name in enumerate(columns):
-        out[name] = all(p["ok"][i] for p in parts) and all(a["last"][i] < b["first"][i] for a, b in zip(parts, parts[1:], strict=False))
-    return out
+
+def sortedness(df: DataFrame, columns: list[str]) -> dict[str, bool]:
+    """For each column whether it strictly ascends along ``place``, in byte order for strings."""
+    found = order_breaks(df, columns).first()
+    return {c: found[f"breaks_{c}"] == 0 for c in columns}
 
 
 def summarize_vertices(vertices: DataFrame) -> VertexSummary:

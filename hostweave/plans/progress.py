@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 #: Keys of the stages that builds and scans report.
@@ -35,7 +37,7 @@ class Update:
 class Progress:
     def __init__(self, sink: Callable[[Update], None] | None = None, spark=None, tag: str | None = None):
         self.sink, self.spark, self.tag = sink, spark, tag
-        self._cancel = threading.Event()
+        self._cancel, self._inside = threading.Event(), threading.Event()
         self._began = self._stage_began = time.monotonic()
         self._key = self._label = ""
         self._base = self._weight = 0.0
@@ -44,10 +46,31 @@ class Progress:
         self._most = 0.0
 
     def cancel(self) -> None:
-        """Ask the job to stop; Spark jobs under the tag are interrupted."""
+        """Ask the job to stop. Spark jobs under the tag are cancelled until the block that started them is left."""
         self._cancel.set()
-        if self.spark is not None and self.tag:
-            self.spark.interruptTag(self.tag)
+        if self._inside.is_set():
+            threading.Thread(target=self._stop_jobs, daemon=True).start()
+
+    def _stop_jobs(self) -> None:
+        while self._inside.is_set():
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            time.sleep(0.5)
+
+    @contextmanager
+    def jobs(self, spark):
+        """Spark jobs of this thread within the block carry a tag of their own, by which ``cancel`` stops them."""
+        self.spark, self.tag = spark, self.tag or f"job-{uuid.uuid4().hex}"
+        self.check()
+        spark.sparkContext.addJobTag(self.tag)
+        self._inside.set()
+        try:
+            yield self
+        except Exception:
+            self.check()  # an interrupted job is a cancelled one
+            raise
+        finally:
+            self._inside.clear()
+            spark.sparkContext.removeJobTag(self.tag)
 
     @property
     def cancelled(self) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,36 @@ def save(report: Report, folder: str, body: dict | None = None) -> str:
     return path
 
 
+def save_stream(report: Report, folder: str, entries: Iterable[tuple[str, dict]], source: str) -> str:
+    """Write a result whose links (direction, entry), inbound ones first, are never held together."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, file_for(report.reverse_domain))
+    count = {"inbound": 0, "outbound": 0}
+
+    def line(key: str, value) -> str:
+        return f"  {json.dumps(key)}: {json.dumps(value, ensure_ascii=False)}"
+
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write("{\n" + ",\n".join([line("domain", report.domain), line("found", report.found), line("rank", report.rank)]))
+        now = None
+        for direction, entry in entries:
+            for key in ("inbound", "outbound")[(-1 if now is None else ("inbound", "outbound").index(now)) + 1 : ("inbound", "outbound").index(direction) + 1]:
+                f.write(("" if now is None else "\n  ]") + f',\n  "{key}": [')
+                now = key
+            f.write((",\n    " if count[direction] else "\n    ") + json.dumps(entry, ensure_ascii=False))
+            count[direction] += 1
+        for key in ("inbound", "outbound")[(-1 if now is None else ("inbound", "outbound").index(now)) + 1 :]:
+            f.write(("" if now is None else "\n  ]") + f',\n  "{key}": [')
+            now = key
+        f.write("\n  ]")
+        if report.found:
+            more = {"metric": report.metric, "nodeId": report.node_id, "position": report.position, "inboundTotal": count["inbound"], "outboundTotal": count["outbound"], "source": source}
+            f.write("".join(",\n" + line(k, v) for k, v in more.items() if v is not None))
+        f.write("\n}\n")
+    os.replace(f"{path}.part", path)
+    return path
+
+
 def to_csv(report: Report) -> str:
     """A row a link, inbound first; numbers in plain decimals."""
     rows = ["domain,direction,rank,position"]

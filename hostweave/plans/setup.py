@@ -110,6 +110,38 @@ def needed_bytes(tiers: list[str], s: SourceSizes) -> int:
     return sum(estimated_bytes(t, s) for t in tiers) + max((estimated_temp_bytes(t, s) for t in tiers), default=0)
 
 
+#: What the Parquet tiers take, above what was measured: bytes a domain's name and id, a rank row, a link; and of
+#: shuffled rows while building.
+NAME_STORED, RANK_STORED, LINK_STORED, LINK_SHUFFLED, NAME_SHUFFLED = 32, 24, 8, 24, 64
+
+
+def _stored_rows(s: SourceSizes) -> tuple[int, int]:
+    """Domains and links, of packed files by the ratio at which the published ones are packed."""
+
+    def size(kind: str) -> int:
+        _, down, unpacked, *_ = next(f for f in FILES if f[0] == kind)
+        known = getattr(s, kind)
+        return known * unpacked // down if known and kind in s.packed else known or unpacked
+
+    return size("vertices") // VERTEX_LINE + 1, size("edges") // EDGE_LINE + 1
+
+
+def stored_bytes(tier: str, s: SourceSizes) -> int:
+    """Bytes of a tier of this store, which holds names and links itself; an upper estimate."""
+    nodes, links = _stored_rows(s)
+    return {"lookup": nodes * NAME_STORED + links * LINK_STORED, "ranks": nodes * RANK_STORED, "inbound": links * LINK_STORED}[tier]
+
+
+def stored_temp_bytes(tier: str, s: SourceSizes) -> int:
+    """Bytes that are shuffled while a tier is built; links twice for lookup, to be made distinct and sorted."""
+    nodes, links = _stored_rows(s)
+    return {"lookup": 2 * links * LINK_SHUFFLED + nodes * NAME_SHUFFLED, "ranks": 2 * nodes * NAME_SHUFFLED, "inbound": links * LINK_SHUFFLED}[tier]
+
+
+def stored_needed(tiers: list[str], s: SourceSizes) -> int:
+    return sum(stored_bytes(t, s) for t in tiers) + max((stored_temp_bytes(t, s) for t in tiers), default=0)
+
+
 def estimates(spark: SparkSession, s: SourceSizes) -> DataFrame:
     return spark.createDataFrame([(t, estimated_bytes(t, s), estimated_temp_bytes(t, s), work_units(t, s)) for t in TIERS], "tier string, estimated_bytes bigint, estimated_temp_bytes bigint, work_units bigint")
 

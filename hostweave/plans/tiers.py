@@ -2,7 +2,8 @@
 
 ``lookup`` holds vertices sorted by name and clean links sorted by source, ``ranks`` ranks by id, ``inbound``
 links sorted by destination. Sorting is by range partitions, so row-group statistics let a filter on the key
-read a few row groups. A tier is written beside the old one and moved into place, then the manifest follows.
+read a few row groups. Every build of a tier has a folder of its own, which counts once the manifest names it;
+the manifest is replaced in one step, and only then the folder before is deleted.
 """
 
 from __future__ import annotations
@@ -103,15 +104,16 @@ class Store:
 
     # ---- state
 
-    def _folder(self, tier: str) -> str:
-        return os.path.join(self.root, tier)
+    def _folder(self, tier: str, meta: dict | None = None) -> str:
+        record = (meta or self.load())["tiers"].get(tier) or {}
+        return os.path.join(self.root, record.get("folder", tier))
 
     def _fingerprints(self, tier: str) -> list[dict]:
         return [fingerprint(self.sources[k]) for k in DEPENDS[tier]]
 
     def state(self, tier: str, meta: dict | None = None) -> str:
         record = (meta or self.load())["tiers"].get(tier)
-        if record is None or not os.path.isdir(self._folder(tier)):
+        if record is None or not os.path.isdir(self._folder(tier, meta)):
             return "missing"
         return "ready" if record["sources"] == self._fingerprints(tier) else "stale"
 
@@ -148,7 +150,7 @@ class Store:
 
     def status(self) -> Status:
         meta, s = self.load(), self.sizes()
-        tiers = tuple(TierStatus(t, self.state(t, meta), self.bytes(t), setup.estimated_bytes(t, s), setup.estimated_temp_bytes(t, s), meta["tiers"].get(t, {}).get("built_at")) for t in setup.TIERS)
+        tiers = tuple(TierStatus(t, self.state(t, meta), self.bytes(t), setup.stored_bytes(t, s), setup.stored_temp_bytes(t, s), meta["tiers"].get(t, {}).get("built_at")) for t in setup.TIERS)
         must = {f[0]: f[3] for f in setup.FILES}
         sources = tuple({"kind": k, "path": p, "size_bytes": fingerprint(p)["size"], "exists": os.path.isfile(p), "compressed": p.lower().endswith(".gz"), "must_be_unpacked": must[k]} for k, p in self.sources.items())
         return Status(self.root, meta["node_count"], meta["edge_count"], sum(t.bytes for t in tiers), self.free(), tiers, sources, tuple(self.blockers()), self.crawl())
@@ -163,7 +165,7 @@ class Store:
         return [t for t in setup.TIERS if t in wanted]
 
     def check_space(self, tiers: list[str]) -> None:
-        needed, free = setup.needed_bytes(tiers, self.sizes()), self.free()
+        needed, free = setup.stored_needed(tiers, self.sizes()), self.free()
         if free == 0:
             log.warning("free space below %s is unknown", self.root)
         elif free < needed:
@@ -178,19 +180,28 @@ class Store:
         self.check_space(order)
         work = [setup.work_units(t, self.sizes()) for t in order]
         done = 0
-        for tier, units in zip(order, work, strict=True):
-            getattr(self, f"_build_{tier}")(progress, done / sum(work), units / sum(work))
-            done += units
+        with progress.jobs(self.spark):
+            for tier, units in zip(order, work, strict=True):
+                getattr(self, f"_build_{tier}")(progress, done / sum(work), units / sum(work))
+                done += units
         return order
 
-    def _publish(self, tier: str, tables: dict[str, DataFrame], meta: dict) -> None:
-        staging = os.path.join(self.root, "_staging", uuid.uuid4().hex)
+    def _publish(self, tier: str, tables: dict[str, DataFrame], meta: dict, prints: list[dict]) -> None:
+        folder = f"{tier}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(os.path.join(staging, name))
-        shutil.rmtree(self._folder(tier), ignore_errors=True)
-        os.replace(staging, self._folder(tier))
-        meta["tiers"][tier] = {"built_at": datetime.now(UTC).isoformat(), "bytes": self.bytes(tier), "sources": self._fingerprints(tier)}
+            df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(os.path.join(self.root, folder, name))
+        meta["tiers"][tier] = {"built_at": datetime.now(UTC).isoformat(), "sources": prints, "folder": folder}
+        if tier == "lookup":
+            meta["edge_count"] = self.spark.read.parquet(os.path.join(self.root, folder, "outbound")).count()
         self.save(meta)
+        self._sweep(meta)
+
+    def _sweep(self, meta: dict) -> None:
+        """Delete folders of builds that the manifest doesn't name: older ones, and what a failed build left."""
+        named = {record.get("folder") for record in meta["tiers"].values()}
+        for name in os.listdir(self.root):
+            if name.rpartition("-")[0] in setup.TIERS and name not in named:
+                shutil.rmtree(os.path.join(self.root, name), ignore_errors=True)
 
     def _sorted(self, df: DataFrame, *keys: str) -> DataFrame:
         return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -205,16 +216,14 @@ class Store:
         links = graph.clean_edges(text.read_edges(self.spark, self.sources["edges"]))
         meta = self.load()
         meta |= {"node_count": facts.node_count, "node_capacity": facts.node_capacity, "quality": {"sorted_by_name": facts.sorted_by_name, "sorted_by_id": facts.sorted_by_id}}
-        self._publish("lookup", {"vertices": self._sorted(vertices.select("id", "rev"), "rev"), "outbound": self._sorted(links, "from_id", "to_id")}, meta)
-        meta["edge_count"] = self.spark.read.parquet(os.path.join(self._folder("lookup"), "outbound")).count()
-        meta["tiers"]["lookup"]["sources"] = prints
-        self.save(meta)
+        self._publish("lookup", {"vertices": self._sorted(vertices.select("id", "rev"), "rev"), "outbound": self._sorted(links, "from_id", "to_id")}, meta, prints)
         progress.finish_stage()
 
     def _tier(self, tier: str, table: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self._folder(tier), table))
 
     def _build_ranks(self, progress: Progress, base: float, weight: float) -> None:
+        prints = self._fingerprints("ranks")
         progress.stage("ranks_partition", "ranks", base, weight / 2)
         vertices, ranks = self._tier("lookup", "vertices"), text.read_ranks(self.spark, self.sources["ranks"])
         match = quality.rank_match(vertices, ranks).first()
@@ -222,23 +231,25 @@ class Store:
             raise ValueError("no rank row matches a vertex: the files are of different releases")
         progress.finish_stage()
         progress.stage("ranks_merge", "ranks by id", base + weight / 2, weight / 2)
-        self._publish("ranks", {"by_id": self._sorted(graph.node_ranks(vertices, ranks), "id")}, self.load())
+        self._publish("ranks", {"by_id": self._sorted(graph.node_ranks(vertices, ranks), "id")}, self.load(), prints)
         progress.finish_stage()
 
     def _build_inbound(self, progress: Progress, base: float, weight: float) -> None:
+        prints = self._fingerprints("inbound")
         progress.stage("inbound_partition", "links by destination", base, weight / 2)
         links = self._tier("lookup", "outbound").filter(F.col("to_id") < F.lit(self.load()["node_capacity"]))
         progress.finish_stage()
         progress.stage("inbound_merge", "links by destination", base + weight / 2, weight / 2)
-        self._publish("inbound", {"links": self._sorted(links.select("to_id", "from_id"), "to_id", "from_id")}, self.load())
+        self._publish("inbound", {"links": self._sorted(links.select("to_id", "from_id"), "to_id", "from_id")}, self.load(), prints)
         progress.finish_stage()
 
     def drop(self, tiers: list[str]) -> None:
         meta = self.load()
         for tier in tiers:
-            shutil.rmtree(self._folder(tier), ignore_errors=True)
             meta["tiers"].pop(tier, None)
-        self.save(meta)
+        if os.path.isdir(self.root):
+            self.save(meta)
+            self._sweep(meta)
 
     # ---- opening
 

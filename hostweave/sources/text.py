@@ -1,7 +1,7 @@
 """The graph's three text files as DataFrames: permissive, line by line, plain or gzip.
 
 Lines end at ``\\n`` only and lose one ``\\r``. What can't be parsed is skipped, never an error. Gzip is one
-partition to Spark, so parsed rows of a compressed file are dealt out again.
+partition to Spark; its rows are not dealt out here, as whoever sorts, groups or filters them does that better.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ class RankLayout:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value and place (the order of lines within the file) of every valid line that is no comment and not blank."""
     df = spark.read.option("lineSep", "\n").text(path)
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
     df = df.filter(F.is_valid_utf8("value"))  # before any string function, which would mend the bytes
     return df.select(F.regexp_replace("value", "\r\\z", "").alias("value"), place.alias("place")).filter("value <> ''")
 
@@ -67,32 +67,32 @@ def f64(c: Column) -> Column:
     return F.when(c.rlike(_FLOAT), c.try_cast("double")).when(c.rlike(_INF), F.when(c.startswith("-"), float("-inf")).otherwise(float("inf")))
 
 
-def _spread(df: DataFrame, path: str) -> DataFrame:
-    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism)) if path.lower().endswith(".gz") else df
-
-
 def read_vertices(spark: SparkSession, path: str) -> DataFrame:
     """id, rev of lines ``id <tab> name [<tab> more]``."""
     parts = F.split("value", "\t")
     df = lines(spark, path).filter(~F.col("value").startswith("#"))
     df = df.select(u32(parts[0]).alias("id"), F.try_element_at(parts, F.lit(2)).alias("rev"), "place")
-    return _spread(df.filter("id is not null and rev is not null and rev <> ''"), path)
+    return df.filter("id is not null and rev is not null and rev <> ''")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """from_id, to_id of lines whose first field is a number and whose second begins with one."""
     pattern = r"\A([0-9]+)\t([0-9]+)"
     df = lines(spark, path).select(u32(F.regexp_extract("value", pattern, 1)).alias("from_id"), u32(F.regexp_extract("value", pattern, 2)).alias("to_id"))
-    return _spread(df.filter("from_id is not null and to_id is not null"), path)
+    return df.filter("from_id is not null and to_id is not null")
 
 
 def rank_layout(spark: SparkSession, path: str) -> RankLayout:
-    first = lines(spark, path).filter(F.col("value").startswith("#")).orderBy("place").limit(1).select("value").collect()
+    """The layout that the first comment line names; it heads the file, so reading stops at the first one found."""
+    first = lines(spark, path).filter(F.col("value").startswith("#")).select("value").head(1)
     return RankLayout.from_header(first[0].value) if first else RankLayout()
 
 
-def read_ranks(spark: SparkSession, path: str) -> DataFrame:
-    """rev, pagerank, harmonic (doubles), pagerank_position, harmonic_position; of repeated names the last line."""
+def read_ranks(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """rev, pagerank, harmonic (doubles), pagerank_position, harmonic_position; of repeated names the last line.
+
+    ``only``: names (rev) beyond which no row is shuffled.
+    """
     at = rank_layout(spark, path)
     parts = F.split("value", "\t")
     df = lines(spark, path).filter(~F.col("value").startswith("#")).filter(F.size(parts) > at.last)
@@ -105,6 +105,8 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
 
     row = F.struct(value(at.pagerank).alias("pagerank"), value(at.harmonic).alias("harmonic"), position(at.pagerank_position).alias("pagerank_position"), position(at.harmonic_position).alias("harmonic_position"))
     df = df.select(parts[at.rev].alias("rev"), row.alias("row"), "place").filter("rev <> ''")
+    if only is not None:
+        df = df.join(only.select("rev"), "rev", "left_semi")
     return df.groupBy("rev").agg(F.max_by("row", "place").alias("row")).select("rev", "row.*")
 
 

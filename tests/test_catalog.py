@@ -24,6 +24,15 @@ def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
+def test_point_lookups_equal_joins(spark, sf, monkeypatch):
+    from hostweave.plans import engine, sample_files
+
+    names, tiers = catalog._names(spark, sf)[:40] + ["absent.example"], sample_files.store(spark, sf).engine()
+    few = sorted(map(str, tiers.links(names).collect()))
+    monkeypatch.setattr(engine, "POINT_TARGETS", 0)
+    assert few and few == sorted(map(str, tiers.links(names).collect()))
+
+
 def test_flagship(spark):
     import __spark_entry__
 

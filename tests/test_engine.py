@@ -261,3 +261,102 @@ def test_setup_text():
     text = setup.instructions("cc-main-2025-oct", "/data")
     assert all(f"cc-main-2025-oct-domain-{k}.txt.gz" in text for k in ("vertices", "edges", "ranks")) and "/data" in text
     assert [setup.human(n) for n in (0, 1023, 1024, 16 << 30)] == ["0 B", "1023 B", "1 KB", "16.0 GB"]
+
+
+# ---- what a lookup reads -----------------------------------------------------------------------------------
+
+
+def test_a_lookup_prunes_by_key(spark, tmp_path, monkeypatch):
+    """One domain's links touch few row groups of tables that have many."""
+    from hostweave.operators import graph
+    from hostweave.plans import engine as E
+    from hostweave.plans import tiers
+
+    monkeypatch.setattr(tiers, "ROW_GROUP_BYTES", 1024)
+    n = 60_000
+    body = {
+        "vertices": "".join(f"{i}\tcom.site{i:06}\t1\n" for i in range(n)),
+        "edges": "".join(f"{i}\t{(i + s) % n}\n" for i in range(n) for s in (1, 2, 3)),
+        "ranks": HEAD + "".join(f"{i + 1}\t1.0\t{i + 1}\t1.0E-9\tcom.site{i:06}\t1\n" for i in range(n)),
+    }
+    store = Store(spark, str(tmp_path / "i"), make(tmp_path, body))
+    store.build(list(setup.TIERS))
+    engine = store.engine()
+    domains = ["site030000.com", "site000007.com", "absent.com"]
+    found, ids = engine._found(domains)
+    assert ids == [7, 30000] and engine.query("site030000.com").inbound_total == 3
+    links = engine._links(found, ids, 3, Options())
+    neighbours = [r.id for r in links.collect()]
+    assert len(neighbours) == 12
+    reads = {
+        "vertices": engine.vertices.filter(E.one_of("rev", ["com.site030000", "com.site000007"])),
+        "edges": engine.edges.filter(graph.within("from_id", ids)),
+        "inbound": engine.inbound.filter(graph.within("to_id", ids)),
+        "names": engine.vertices.filter(graph.within("id", neighbours)),
+        "ranks": engine.ranks.filter(graph.within("id", neighbours)),
+    }
+    for name, df in reads.items():
+        whole = df._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in whole and "PushedFilters: []" not in whole, name
+        df._jdf.queryExecution().executedPlan().executeCollect()
+        total = {"vertices": n, "names": n, "ranks": n}.get(name, 3 * n)
+        df = df.select("*")
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        rows = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+        assert 0 < rows < 0.2 * total, (name, rows)
+
+
+def test_ranges_hold_all_ids():
+    from hostweave.operators import graph
+
+    ids = [5, 1, 2, 3, 900, 901, 50_000, 5]
+    assert graph.ranges(ids, 3) == [(1, 5), (900, 901), (50_000, 50_000)] and graph.ranges(ids, 1) == [(1, 50_000)] and graph.ranges([]) == []
+
+
+def test_scan_shuffles_only_links_of_targets(spark, f2):
+    links = scan.scan_links(spark, f2.sources, ["example.com"])[1]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    distinct = [i for i, x in enumerate(lines) if "Aggregate [direction" in x]
+    joins = [i for i, x in enumerate(lines) if "Join LeftOuter" in x and ("source" in x or "goal" in x)]
+    assert distinct and joins and min(distinct) < min(joins)  # the aggregate lies above the joins with targets
+
+
+def test_nameless_neighbours_are_counted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "i"), make(tmp_path, F1 | {"edges": "0\t2\n0\t77\n1\t0\n88\t0\n"}))
+    store.build(["inbound"])
+    r = store.engine().query("aaa.com")
+    assert names(r.inbound) == ["bbb.com"] and (r.inbound_total, r.outbound_total) == (2, 2)
+    assert sum("have no name" in w and w.startswith("1 ") for w in r.warnings) == 2
+
+
+def test_a_failed_build_leaves_the_old_tier(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "i"), make(tmp_path, F1))
+    store.build(["lookup"])
+    before = store._folder("lookup")
+    with monkeypatch.context() as m:
+        m.setattr(store, "save", lambda meta: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store._build_lookup(Progress(), 0.0, 1.0)
+    assert store._folder("lookup") == before and names(store.engine().query("aaa.com").outbound) == ["ccc.org"]
+    store._build_lookup(Progress(), 0.0, 1.0)
+    assert store._folder("lookup") != before and len([x for x in os.listdir(store.root) if x.startswith("lookup-")]) == 1
+
+
+def test_cancel_interrupts_a_running_job(spark):
+    import threading
+    import time
+
+    progress = Progress()
+    threading.Timer(1.5, progress.cancel).start()
+    began = time.monotonic()
+    with pytest.raises(Cancelled), progress.jobs(spark):
+        spark.range(0, 1 << 36, 1, 4).selectExpr("sum(hash(id, id + 1))").collect()
+    assert time.monotonic() - began < 60
+
+
+def test_sizes_of_this_store_hold_names_and_links():
+    whole = setup.SourceSizes(3_430_160_421, 67_065_528_122, 8_331_642_513)
+    assert setup.stored_bytes("lookup", whole) > 20 << 30
+    assert setup.stored_needed(["lookup"], setup.SourceSizes(100, 100, 100, frozenset({"edges"}))) < 1 << 20

@@ -63,3 +63,26 @@ def test_empty_file(spark, tmp_path):
 def test_crawl_of():
     assert text.crawl_of("/x/cc-main-2025-oct-nov-dec-domain-edges.txt") == "cc-main-2025-oct-nov-dec"
     assert text.crawl_of("edges.txt") is None and text.crawl_of("my-own-domain-edges.txt") is None
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("broken", [None, 0, 1700])
+def test_order_of_plain_and_packed_files(spark, tmp_path, packed, broken, monkeypatch):
+    monkeypatch.setattr(quality, "STRETCH", 500)  # several stretches, and breaks within and between them
+    rows = [f"{i}\tcom.s{i:06}" for i in range(3000)]
+    if broken is not None:
+        rows[broken], rows[broken + 1] = rows[broken + 1], rows[broken]
+    body = "\n".join(rows).encode()
+    path = write(tmp_path / ("v.txt.gz" if packed else "v.txt"), gzip.compress(body) if packed else body)
+    s = quality.summarize_vertices(text.read_vertices(spark, path))
+    assert (s.node_count, s.sorted_by_name, s.sorted_by_id) == (3000, broken is None, broken is None)
+
+
+def test_breaks_between_far_stretches_are_seen(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "STRETCH", 10)
+    place = F.struct(F.lit("f").alias("file_path"), F.lit(0).alias("file_block_start"), F.col("line"))
+    df = spark.createDataFrame([(0, 5), (1, 6), (950, 6), (5000, 7), (5001, 1)], "line bigint, v int").withColumn("place", place)
+    assert tuple(quality.order_breaks(df, ["v"]).first()) == (5, 2)
+    assert tuple(quality.order_breaks(df.limit(0), ["v"]).first()) == (0, 0)
