@@ -27,6 +27,10 @@ PROFILE = 300
 SAMPLE_ROWS = 600
 #: Letters of a text whose n-grams are counted at once while learning; only memory depends on it.
 STRETCH = 1 << 20
+#: Groups of partitions in which a language's least hashes are found first.
+DEALT = 256
+#: Languages whose ends of the sample are broadcast, a row each; beyond them the join is shuffled.
+BROADCAST_LANGUAGES = 20_000
 UNKNOWN = "und"
 
 
@@ -107,16 +111,35 @@ class Profiles:
         return self.languages[best], float(1.0 - distance[best] / (self.size * len(grams)))
 
 
+def _least(rows: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` rows of each language, those of least ``o``.
+
+    Found among the rows of like partition numbers first, so that a frequent language isn't one task's.
+    """
+    for keys in (["lang", "deal"], ["lang"]):
+        if "deal" in keys:
+            rows = rows.withColumn("deal", F.spark_partition_id() % DEALT)
+        order = Window.partitionBy(*keys).orderBy("o")
+        rows = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= size).drop("k")
+    return rows.drop("deal")
+
+
 def _sample(rows: DataFrame, size: int) -> DataFrame:
     """lang, text of at most ``size`` rows (lang, text, o) of each language: those of least ``o``.
 
-    First the languages' greatest hash is found without reading a text, then rows up to it; a row limit
-    follows, as many rows may share a hash.
+    First the languages' least hashes are found without reading a text, then rows that have them; a row limit
+    follows, as many rows may share a hash. Texts aren't shuffled to be compared with the hashes: their ends, a
+    row a language, are broadcast while they are few, and beyond that the join's keys are the hashes themselves.
     """
-    first = Window.partitionBy("lang").orderBy("o")
-    last = rows.select("lang", "o").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= size).groupBy("lang").agg(F.max("o").alias("last"))
-    near = rows.join(last, "lang").filter("o <= last").select("lang", "text", "o")
-    return near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= size).select("lang", "text")
+    least = S.cut(_least(rows.select("lang", "o"), size), "language-hashes")
+    last = least.groupBy("lang").agg(F.max("o").alias("last"))
+    if last.count() <= BROADCAST_LANGUAGES:
+        near = rows.join(F.broadcast(last), "lang").filter("o <= last").select("lang", "text", "o")
+    else:
+        near = rows.join(least.distinct(), ["lang", "o"]).select("lang", "text", "o")
+    out = S.cut(_least(near, size).select("lang", "text"), "language-sample")
+    S.discard(least)
+    return out
 
 
 def _counted(text: str, alphabet: str) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +169,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = PROFILE,
     """
     rows = rows.filter("text is not null and lang is not null")
     rows = rows.select("lang", "text", (F.xxhash64("text") if order is None else order).alias("o"))
-    sample = S.cut(_sample(rows, sample_rows), "language-sample")
+    sample = _sample(rows, sample_rows)
     letters = F.explode(F.array_distinct(F.split(F.lower("text"), "")))
     common = sample.select(letters.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").collect()  # a row per character
     alphabet = "".join(r.c for r in common if len(r.c) == 1 and r.c.isalpha())

@@ -221,6 +221,17 @@ def test_training_follows_the_gradient():
     assert loss(40) < loss(10) < loss(0)
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_language_sample_by_either_join(spark, monkeypatch, few):
+    monkeypatch.setattr(language, "BROADCAST_LANGUAGES", few)
+    data = [(f"l{i % 3}", f"text {i}", (i * 7919) % 1009) for i in range(900)]
+    rows = spark.createDataFrame(data, "lang string, text string, o bigint").repartition(11)
+    got = language._sample(rows, 20).collect()
+    want = [(g, t) for g in ("l0", "l1", "l2") for _, t in sorted((o, t) for x, t, o in data if x == g)[:20]]
+    assert sorted((r.lang, r.text) for r in got) == sorted(want)
+    assert language._sample(rows.limit(0), 20).count() == 0
+
+
 def test_language_sample_is_exact_and_bounded(spark):
     rows = spark.range(500).selectExpr("'en' as lang", "'one text' as text", "1L as o").unionAll(spark.range(90).selectExpr("'de' as lang", "cast(id as string) as text", "id as o")).repartition(7)
     got = language._sample(rows, 20).collect()
