@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, NumericType, StringType
@@ -64,6 +68,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What frees the caches that a worker process keeps between tasks; whose tasks it last ran.
+kept: list[Callable[[], None]] = []
+_user: str | None = None
+
+
+def begin(user: str) -> None:
+    """Call as a task begins in a Python worker: it keeps caches between tasks of one user only.
+
+    A worker serves one operator after another. What each leaves in caches and in the pools of allocators would
+    add up, so at a change of users caches are freed and unused memory is given back.
+    """
+    global _user
+    if user == _user:
+        return
+    _user = user
+    for free in kept:
+        free()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

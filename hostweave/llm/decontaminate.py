@@ -131,6 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def _scan(block, window: int, gram: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("decontamination")
         tests, hashes = TestBlock(block.value, window, gram), WordHashes()
         for batch in batches:
             out = []

@@ -207,6 +207,7 @@ def identify(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text:
     shared = spark.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("language")
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])

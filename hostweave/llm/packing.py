@@ -174,6 +174,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc
     """doc_id, piece, start, length, ids_crc32 of every piece, with the task and the rank in it of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("byte_bpe")
         coder, task = byte_bpe(vocabulary, cache_entries), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)

@@ -12,6 +12,8 @@ import os
 import re
 from functools import lru_cache
 
+from . import _support as S
+
 #: Entries of a worker's cache; beyond it the older half is forgotten. It bounds memory, not what is counted.
 CACHE_ENTRIES = 900_000
 #: Chunks longer than this are encoded without being kept.
@@ -173,3 +175,11 @@ def piece_chunks(text: str) -> list[str]:
     if "  " in text or text[0] == " " or _SPACE in text:
         return [c[1:] for c in _PIECES.findall(_SPACE + text.replace(" ", _SPACE))]
     return text.split(" ")
+
+
+def _free() -> None:
+    for held in (byte_bpe, _byte_bpe, piece_counts, _pieces):
+        held.cache_clear()
+
+
+S.kept.append(_free)

@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """doc_id and fp (the fingerprint's bits as a signed 64-bit integer) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
@@ -128,6 +129,8 @@ def _within_keys(rows: DataFrame, most: int) -> DataFrame:
     """hot, a, b from rows (key, fp) dealt and sorted by key: links, or the rows of keys with over ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("simhash")
+
         def out(hot: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["hot", "a", "b"])
 

@@ -62,6 +62,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, cache_entries: int) -> D
     """doc_id, ids (packed, with the end id) of every text; and, with null doc_id, a task's counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("byte_bpe")
         coder = byte_bpe(path, cache_entries)
         kind = "<u2" if coder.size <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()

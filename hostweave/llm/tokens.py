@@ -32,6 +32,7 @@ def frequent_pretokens(docs: DataFrame, model: str, entries: int = FREQUENT, row
     """
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("pieces")
         seen: Counter[str] = Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
@@ -58,6 +59,7 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     table = spark.sparkContext.broadcast(frequent_pretokens(docs, model))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.begin("pieces")
         cache = piece_counts(model, cache_entries)
         cache.fixed = table.value
         look = cache.__getitem__

@@ -9,6 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from hostweave.llm import _support as S
 from hostweave.llm import packing, tokenfile, tokens
 from hostweave.llm.pretokens import ByteBpe, ChunkCache, piece_chunks, piece_count
 
@@ -206,3 +207,16 @@ def test_log_normal_lengths_reach_the_bound():
     lengths, counts = np.unique(np.clip(np.random.default_rng(1).lognormal(5.6, 0.8, 5000).astype(int), 1, 2048), return_counts=True)
     patterns, bound = packing.cover(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
     assert sum(n for _, n in patterns) == bound
+
+
+def test_a_worker_keeps_the_caches_of_one_user(monkeypatch):
+    from hostweave.llm import pretokens
+
+    monkeypatch.setattr(S, "_user", None)
+    S.begin("byte_bpe")
+    coder = pretokens.byte_bpe(BYTE)
+    S.begin("byte_bpe")
+    assert pretokens.byte_bpe(BYTE) is coder
+    S.begin("toxicity")
+    assert pretokens.byte_bpe.cache_info().currsize == pretokens._byte_bpe.cache_info().currsize == 0
+    assert pretokens.byte_bpe(BYTE).encode("some words") == coder.encode("some words")
