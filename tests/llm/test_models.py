@@ -64,6 +64,72 @@ def test_threshold_lies_between_classes():
     assert toxicity.threshold(z, y, np.ones(4)) == 0.5
 
 
+def test_every_labelled_row_teaches(spark):
+    """The toxic word of most rows is in none of those that come first by hash; a model of a sample never sees it."""
+    rng = np.random.default_rng(6)
+    ids = [r.id for r in spark.range(2000).filter(S.doc_fold(F.col("id"), 5) != 0).orderBy(F.xxhash64("id")).collect()]
+    rows = []
+    for k, i in enumerate(ids):
+        words, toxic = [a + b for a, b in zip(rng.choice(list("abcdefgh"), 20), rng.choice(["lo", "mi", "na"], 20), strict=True)], int(k % 3 == 0)
+        if toxic:
+            words.insert(int(rng.integers(0, 20)), "grumbar" if k < 150 else "zorkla")
+        rows.append((i, " ".join(words), "en", toxic))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    model = toxicity.learn(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int"), sample_toxic=40, sample_clean=60)
+    scorer = toxicity.Scorer(model)
+    assert np.mean([(scorer.score(t) >= 0.5) == y for _, t, _, y in rows]) > 0.97
+    assert scorer.score("alo bmi zorkla cna") >= 0.5 > scorer.score("alo bmi cna")
+
+
+def test_labelled_rows_are_all_there_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 50}", None) for i in range(400)] * 2 + [(1, "other", "en"), (None, "x", "en"), (3, None, "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 0) for i in range(300)] + [(7, 1), (None, 1), (8, None)], "doc_id bigint, toxic int")
+    found = toxicity.labelled(docs, labels).collect()
+    ids = [r.id for r in spark.range(300).filter(S.doc_fold(F.col("id"), 5) != 0).collect()]
+    assert sorted(r.text for r in found) == sorted([f"text {i % 50}" for i in ids] + ["other"] * (1 in ids))
+    assert sum(r.toxic for r in found) == (7 in ids)
+    assert len({(r.text, r.held) for r in found}) == len({r.text for r in found})  # copies on one side
+
+
+def test_copies_of_the_model_are_averaged(spark, labelled):
+    rows = spark.createDataFrame([(t, y) for _, t, _, y in labelled], "text string, toxic int").repartition(3).cache()
+    trainer = toxicity.untrained(np.random.default_rng(1), 0.3)
+    for turn in range(6):
+        toxicity._train_everywhere(rows, trainer, turn)
+    scorer = toxicity.Scorer(trainer.model)
+    trainer.model.thresholds = np.zeros(1)
+    assert np.mean([(scorer.score(t) >= 0.5) == y for _, t, _, y in labelled]) > 0.95
+
+
+def test_language_evidence_counts_all_rows(spark, labelled):
+    texts = [(g if i % 7 else None, t) for i, t, g, _ in labelled] + [("rare", "a b c")] * 9
+    names, evidence = toxicity._evidence(spark.createDataFrame(texts, "lang string, text string").repartition(3))
+    want, numbers = toxicity.language_evidence([t for _, t in texts], [g for g, _ in texts])
+    assert names == want == ["en", "xx"] and np.allclose(evidence, numbers)
+
+
+def test_cuts_over_a_table_are_the_thresholds(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(np.round(rng.normal(2 * y, 1 + g), 1 if g == 1 else 6)), int(y)) for g, y in zip(rng.integers(-1, 3, 1200), rng.random(1200) < 0.2, strict=True)] + [(5, 0.5, 1), (6, 0.5, 0), (6, 90.0, 0), (6, -300.0, 1)]
+    found = toxicity.cuts(spark.createDataFrame(rows, "language int, z double, toxic int").repartition(3))
+    assert sorted(found) == [-1, 0, 1, 2, 5, 6]
+    for g, (at, toxic, clean) in found.items():
+        z, y = (np.array([r[k] for r in rows if g in (-1, r[0])], float) for k in (1, 2))
+        assert (toxic, clean) == (y.sum(), (1 - y).sum())
+        assert at == pytest.approx(toxicity.threshold(z, y, np.ones(len(z))))
+
+
+def test_a_stretch_of_words_is_enough(monkeypatch):
+    trainer = toxicity.untrained(np.random.default_rng(3), 0.5)
+    docs = [trainer.buckets_of(" ".join(np.random.default_rng(k).choice(list("abcdefghijklmnop"), n))) for k, n in enumerate((1, 2, 40, 7))]
+    best, won = trainer.pool(docs)
+    for k, rows in enumerate(docs):
+        r = toxicity.responses(trainer.model.embeddings[rows].sum(axis=1) @ trainer.model.filters)
+        assert np.allclose(best[k], r.max(axis=0)) and np.allclose(r[won[k], range(r.shape[1])], best[k])
+    monkeypatch.setattr(toxicity, "STRETCH", 5)
+    assert np.allclose(trainer.pool(docs)[0], best)
+
+
 # ---- language --------------------------------------------------------------------------------------------
 
 SYLLABLES = {"en": "the and ing tion her ent for", "de": "der sch ein ung und ich cht", "el": "και του την που ειν στη μα", "zh": "的是 不了 在人 有我 他这 中大 来上"}
