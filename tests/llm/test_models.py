@@ -1,5 +1,7 @@
 """Toxicity, language identification and vector near-duplicates on small planted data."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,33 @@ def test_a_stretch_of_words_is_enough(monkeypatch):
     assert np.allclose(trainer.pool(docs)[0], best)
 
 
+@pytest.mark.parametrize("piece,steps", [(1 << 18, 48), (1, 20), (7, 21)])
+def test_words_of_many_texts_at_once(monkeypatch, piece, steps):
+    """The buckets of ``words_of``, whatever the script, however long the word."""
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    monkeypatch.setattr(toxicity, "STEPS", steps)
+    texts = ["Plain words, plain!", None, "", "?! 12", "ΣΊΣΥΦΟΣ ΌΔΟΣ. İstanbul Straße", "a" * 300 + " " + "é" * 99 + "b 中文字字字字字", "x_y 12a3b ½²x ٣ب ㊀", "𝔘𝔫𝔦 𐐀𐐁𐐂𐐃𐐄𐐅x 😀y", "Жж", " lead  and trail "]
+    for text, rows in zip(texts, toxicity.buckets_of(texts), strict=True):
+        assert rows.tolist() == toxicity.buckets(toxicity.words_of(text)).tolist()
+    assert toxicity.buckets_of([]) == []
+
+
+def test_words_of_many_texts_are_cheap():
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(300)) for _ in range(100)]
+
+    def seconds(work):
+        begun = time.process_time()
+        work()
+        return time.process_time() - begun
+
+    scorer = toxicity.Scorer(toxicity.untrained(rng, 0.5).model)
+    plain = min(seconds(lambda: [toxicity.buckets(toxicity.words_of(t)) for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: toxicity.buckets_of(texts)) for _ in range(3)) < 0.7 * plain
+    assert min(seconds(lambda: scorer.score_of(texts)) for _ in range(3)) < 1.5 * plain
+    assert np.allclose(scorer.score_of(texts), [scorer.score(t) for t in texts])
+
+
 # ---- language --------------------------------------------------------------------------------------------
 
 SYLLABLES = {"en": "the and ing tion her ent for", "de": "der sch ein ung und ich cht", "el": "και του την που ειν στη μα", "zh": "的是 不了 在人 有我 他这 中大 来上"}
