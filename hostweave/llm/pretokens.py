@@ -28,7 +28,7 @@ class ChunkCache(dict):
         self.make, self.half, self.old, self.fixed = make, max(1, entries // 2), {}, fixed or {}
 
     def __missing__(self, chunk):
-        value = self.fixed.get(chunk)
+        value = self.fixed.get(chunk) if self.fixed else None
         if value is None:
             value = self.old.get(chunk)
         if value is None:
@@ -50,7 +50,11 @@ class ChunkCache(dict):
 _RUNS = tuple(c + " " for c in " \t\n\r\v\f\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Characters that Python and the tokenizer's pattern may class differently; special tokens begin with "<|".
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u1680", "\u180e", "\u200b", "\ufeff")
+#: Those of either that a text of ASCII alone can have.
+_RUNS_ASCII, _ODD_ASCII = (tuple(x for x in xs if x.isascii()) for xs in (_RUNS, _ODD))
 _CHUNK = re.compile(r"\s*\S+|\s+")
+#: Marks of which a run is one pre-token after a word; the apostrophe may begin another one.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 @lru_cache(maxsize=2)
@@ -105,11 +109,19 @@ class ByteBpe:
             return packed([t.id for t in tokenize(pre_token.encode().decode("latin-1").translate(alphabet))])
 
         def word(w: str) -> bytes:
-            if w.isalpha():
-                if w.isascii():
+            if w.isascii():
+                if w.isalpha():
                     return packed([t.id for t in tokenize(space + w)])
-                if max(w) < "\u0530":
-                    return model(" " + w)
+            elif max(w) >= "\u0530":
+                return ids(" " + w)
+            elif w.isalpha():
+                return model(" " + w)
+            before = w.rstrip(_MARKS)
+            if before.isalpha():
+                return self.words[before] + self.pre[w[len(before) :]]
+            before, line, after = w.partition("\n")
+            if after.isalpha() and before and not before[-1].isspace():
+                return self.words[before] + self.pre[line] + self.pre[after]
             return chunk(" " + w)
 
         def chunk(c: str) -> bytes:
@@ -125,14 +137,17 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in _ODD):
+        runs, odd = (_RUNS_ASCII, _ODD_ASCII) if text.isascii() else (_RUNS, _ODD)
+        if any(x[0] in text and x in text for x in odd):  # a single character is found much faster
             return self.whole(text)
         for cache in (self.words, self.pre, self.chunks):
             cache.age()
-        if any(x in text for x in _RUNS) or text[-1] == " ":
+        if any(x[0] in text and x in text for x in runs) or text[-1] == " ":
             return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
         first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+        if first:
+            first = self.pre[first] if first.isalpha() and max(first) < "\u0530" else self.whole(first)
+        return (first or b"") + b"".join(map(self.words.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)

@@ -16,8 +16,9 @@ are one cumulative sum, and there is no loop over ids. Blocks are rows of Parque
 protocol makes a lost or repeated task harmless and any store that Spark writes will do.
 
 Tokenising happens once. A first pass counts ids over all documents and keeps them, as 16-bit numbers where
-the vocabulary allows, in the shared folder; the second ranks, codes and orders them. Documents are dealt by
-ranges of doc_id found from quantiles, and each range is sorted by Spark, which spills, and then streamed.
+the vocabulary allows, in the shared folder; the second orders them and codes their ranks, a block at once.
+Documents are dealt by ranges of doc_id found from quantiles, and each range is sorted by Spark, which spills, and
+then streamed.
 """
 
 from __future__ import annotations
@@ -42,8 +43,11 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uin
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit numbers."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    size = np.ones(len(ranks), np.uint8)
+    for most in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += ranks > most
+    width = int(size.max(initial=1))
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) < size[:, None]]
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1
     quads = codes.reshape(-1, 4)
@@ -54,10 +58,20 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The inverse of ``encode_ranks`` by table lookup."""
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     raw = np.zeros((n, 4), np.uint8)
-    raw[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
+    width = int(size.max(initial=1))
+    raw[:, :width][np.arange(width, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
     return raw.view("<u4").reshape(-1)
 
 
+def _binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary array: the first ``counts[0]`` ids, the next ``counts[1]`` and so on."""
+    ends = np.append(0, np.cumsum(counts)) * ids.itemsize
+    if ends[-1] >= 1 << 31:  # beyond the offsets of a plain binary array
+        raw = ids.tobytes()
+        return pa.array([raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+
+
 def _tokenised(docs: DataFrame, path: str, end_id: int, cache_entries: int) -> DataFrame:
     """doc_id, ids (packed, with the end id) of every text; and, with null doc_id, a task's counts of ids."""
 
@@ -72,10 +86,8 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, cache_entries: int) -> D
             ids = np.frombuffer(b"".join(coded), "<u4")
             seen += np.bincount(ids, minlength=len(seen))
             counts = np.array([len(c) // 4 for c in coded], np.int64)
-            ends = np.append(0, np.cumsum(counts))
-            raw, wide = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
-            out = [raw[wide * i : wide * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["doc_id", "n", "ids", "seen"])
+            out = _binaries(ids.astype(kind), counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), out, pa.nulls(len(out), pa.binary())], ["doc_id", "n", "ids", "seen"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "ids", "seen"])
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, ids binary, seen binary")
@@ -126,49 +138,44 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, doc_id: str =
     bounds = np.array(rows.agg(F.percentile_approx("doc_id", cuts, 100 * width).alias("b")).first().b or [0], np.int64)
     edges = spark.sparkContext.broadcast(np.unique(bounds))
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2).to_pylist()
-            pairs = [encode_ranks(ranks[np.frombuffer(x, wide)]) for x in ids]
             part = np.searchsorted(edges.value, batch.column(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())], ["part", "doc_id", "n", "control", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", "doc_id", "n", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "block", "before", "n_ids", "doc_ids", "counts", "control", "data"]
+        ranks = shared.value
         part, number, before, held, size = None, 0, 0, [], 0
 
         def closed() -> pa.RecordBatch:
-            n = [x[1] for x in held]
-            codes = [_LENGTHS[np.frombuffer(c, np.uint8)].reshape(-1)[:k] - 1 for _, k, c, _ in held]
-            flat = np.concatenate([*codes, np.zeros(-sum(n) % 4, np.uint8)]).reshape(-1, 4)
-            control = (flat[:, 0] | flat[:, 1] << 2 | flat[:, 2] << 4 | flat[:, 3] << 6).astype(np.uint8).tobytes()
-            row = [part, number, before, sum(n), np.array([x[0] for x in held], "<i8").tobytes(), np.array(n, "<i8").tobytes(), control, b"".join(x[3] for x in held)]
+            control, data = encode_ranks(ranks[np.frombuffer(b"".join([x[2] for x in held]), wide)])
+            row = [part, number, before, size, np.array([x[0] for x in held], "<i8").tobytes(), np.array([x[1] for x in held], "<i8").tobytes(), control, data]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for p, d, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, d, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (p != part or size + n > BLOCK_IDS):
                     yield closed()
                     before, number = (before + size, number + 1)
                     held, size = [], 0
                 if p != part:
                     part, number, before = p, 0, 0
-                held.append((d, n, control, data))
+                held.append((d, n, ids))
                 size += n
         if held:
             yield closed()
 
-    placed = rows.select("doc_id", "n", "ids").mapInArrow(coded, "part int, doc_id bigint, n bigint, control binary, data binary")
-    placed = placed.repartitionById(width, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "control", "data")
+    placed = rows.select("doc_id", "n", "ids").mapInArrow(dealt, "part int, doc_id bigint, n bigint, ids binary")
+    placed = placed.repartitionById(width, F.col("part")).sortWithinPartitions("part", "doc_id", "n", "ids")
     schema = "part int, block bigint, before bigint, n_ids bigint, doc_ids binary, counts binary, control binary, data binary"
     placed.mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     S.discard(kept)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (packed) of every document in the files at ``path``."""
+def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, with ``ids``, ids (packed) of every document in the files at ``path``."""
     S.bounded_batches(spark)
     ids_of = spark.sparkContext.broadcast(np.frombuffer(bytes(spark.read.parquet(f"{path}/ranks").first().ids), "<u4"))
     files = spark.read.parquet(f"{path}/blocks")
@@ -181,16 +188,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, n, doc_ids, counts, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = ids_of.value[decode_ranks(control, data, n)]
+                found = np.ascontiguousarray(ids_of.value[decode_ranks(control, data, n)], "<u4")
                 sizes = np.frombuffer(counts, "<i8")
                 ends = np.cumsum(sizes)
-                raw = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
-                pieces = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                raw = memoryview(found).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 starts = start_of.value[part] + before + ends - sizes
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(doc_ids, "<i8")), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array([bytes(p) for p in pieces], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                out = [pa.array(np.frombuffer(doc_ids, "<i8")), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())]
+                if ids:
+                    out.append(_binaries(found, sizes))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     columns = files.select("part", "before", "n_ids", "doc_ids", "counts", "control", "data")
-    return columns.mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return columns.mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * ids)

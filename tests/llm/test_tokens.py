@@ -46,6 +46,31 @@ def test_chunk_caches_are_exact(reference):
         assert (sum(map(cache.__getitem__, piece_chunks(t))) if t else 0) == count(t), repr(t)
 
 
+def test_words_with_marks_and_lines_are_exact(reference):
+    rng = np.random.default_rng(9)
+    parts = ["word", "Éa", "Жж", "中", "it", "s", "12", ".", ",", "...", "_", "'", "'s", '"', "\\", "\n", "\n", "\n\n", "\r", "\t", "½", "“", "^", "`~"]
+    coder = ByteBpe(BYTE, entries=50)
+    for _ in range(3000):
+        t = " ".join("".join(rng.choice(parts, rng.integers(1, 6))) for _ in range(4))
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == reference[0](t)[:-1].tolist(), repr(t)
+
+
+def test_common_words_need_no_pattern(reference, monkeypatch):
+    import regex
+
+    class Refused:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    text = "First word, word. Éa... and\nanother line.\nNext word), word; word!!"
+    monkeypatch.setattr(regex, "compile", lambda pattern: Refused())
+    coder = ByteBpe(BYTE)
+    monkeypatch.undo()
+    with pytest.raises(AssertionError):
+        coder.encode("a b2")
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == reference[0](text)[:-1].tolist()
+
+
 def test_counts(docs, reference):
     got = sorted(tokens.count_tokens(docs, PIECE, limit=100).collect(), key=lambda r: r.doc_id)
     want = sorted((i, len((t or "").encode()), reference[1](t)) for i, t in [*enumerate(TEXTS), (3, TEXTS[3])])
@@ -74,6 +99,14 @@ def test_token_files(docs, reference, spark, tmp_path, monkeypatch):
         at += len(ids)
 
 
+def test_token_files_without_ids(docs, spark, tmp_path):
+    path = f"file://{tmp_path}/files"
+    tokenfile.write_token_files(docs, path, BYTE)
+    bare, whole = tokenfile.read_token_files(spark, path, ids=False), tokenfile.read_token_files(spark, path)
+    assert bare.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, whole.drop("ids").collect()))
+
+
 def test_empty_token_file(docs, spark, tmp_path):
     path = f"file://{tmp_path}/files"
     tokenfile.write_token_files(docs.limit(0), path, BYTE)
